@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan, sharding
+from . import bpe, license_scan, secret_scan, sharding
 
-_MODULES = (license_scan, sharding)
+_MODULES = (license_scan, secret_scan, bpe, sharding)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in getattr(m, "ORACLE", {}).items()}

@@ -45,3 +45,30 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if now == 10000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def per_text(df: DataFrame, keep: list[str], schema: str, make, text: str = "text") -> DataFrame:
+    """One output row per input row: the columns of `keep` as they are, then what make()(text) returns.
+
+    make is called once in each Python worker task; it returns the function from a text (null
+    as "") to a tuple that fits `schema`. Batches stay small, so memory is bounded by a batch.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    small_batches(df.sparkSession)
+    added = T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(schema)
+    narrow = df.select(*keep, text)
+    out = T.StructType([*narrow.select(*keep).schema.fields, *added.fields])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in added.fields]
+        fn = make()
+        for b in batches:
+            rows = [fn(t or "") for t in b.column(len(keep)).to_pylist()]
+            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[f.name for f in out.fields])
+
+    return narrow.mapInArrow(run, out)
