@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, packing, secret_scan, sharding, simhash
+from . import ann, bpe, license_scan, packing, quality, secret_scan, sharding, simhash
 
-_MODULES = (license_scan, simhash, packing, secret_scan, bpe, sharding)
+_MODULES = (license_scan, simhash, ann, packing, secret_scan, bpe, quality, sharding)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in getattr(m, "ORACLE", {}).items()}
