@@ -43,3 +43,11 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make, text: str = "tex
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[f.name for f in out.fields])
 
     return narrow.mapInArrow(run, out)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished jobs, which it does when the driver's garbage is collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
