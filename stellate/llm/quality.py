@@ -98,6 +98,11 @@ def fit(feats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     return model
 
 
+def _difference(x: np.ndarray, model: dict) -> np.ndarray:
+    half = {y: ((x - model["mean"][y]) @ model["inverse"][y].T) for y in (0, 1)}
+    return model["log"][1] - model["log"][0] - 0.5 * ((half[1] ** 2).sum(1) - (half[0] ** 2).sum(1))
+
+
 def difference(feats: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """Rows (keep..., delta): log density of class 1 less that of class 0."""
     import pyarrow as pa
@@ -106,9 +111,7 @@ def difference(feats: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     def run(batches):
         for b in batches:
             x = np.array(b.column(len(keep)).to_pylist(), np.float64).reshape(-1, len(NAMES))
-            half = {y: ((x - model["mean"][y]) @ model["inverse"][y].T) for y in (0, 1)}
-            delta = model["log"][1] - model["log"][0] - 0.5 * ((half[1] ** 2).sum(1) - (half[0] ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(delta)], names=[*keep, "delta"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(_difference(x, model))], names=[*keep, "delta"])
 
     narrow = feats.select(*keep, "x")
     return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[: len(keep)], T.StructField("delta", T.DoubleType())]))
@@ -134,3 +137,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_quality": op9_quality}
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that the classifier doesn't reject; texts aren't shuffled."""
+    import pyarrow as pa
+
+    from .tables import small_batches
+
+    model = fit(written(features(docs, key, text), "features"), labels, key)
+    if "share" in model:
+        return docs if model["share"] >= CUT else docs.limit(0)
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            x = np.array([statistics(t or "") for t in b.column(at).to_pylist()], np.float64).reshape(-1, len(NAMES))
+            yield b.filter(pa.array(_difference(x, model) >= model["shift"]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -231,6 +231,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(of.join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns: one of each component stays, that of the smallest key (nulls last).
+
+    Rows are told by key and a hash of the text; of rows that agree in both, one stays.
+    """
+    from pyspark.sql import Window
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    named = docs.select(F.col(key), F.xxhash64(body).alias("__h"), body.alias("__body"))
+
+    def make():
+        return lambda t: (fingerprint(t),)
+
+    prints = written(per_text(named, [key, "__h"], "fp long", make, "__body"), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key), F.col("__h"))).alias("first")), "nodes")
+    roots = components(links(nodes), "a", "b")
+    of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{key}").alias("__key"), F.col("first.__h").alias("__kh"))
+    marked = docs.withColumn("__h", F.xxhash64(body))
+    found = marked.join(kept, (F.col("__h") == F.col("__kh")) & F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    only = Window.partitionBy("__h", key).orderBy("__h")
+    return found.withColumn("__n", F.row_number().over(only)).filter("__n = 1").select(*docs.columns)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = near_duplicates(table(spark, sf_dir, "documents"))
     return x.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
