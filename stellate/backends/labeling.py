@@ -265,7 +265,7 @@ def calibrate_regime_thresholds(ps: PointSet, n_regimes: int = 2, density_estima
 @label_points.register
 def _(config: PointHysteresisConfig, ps: PointSet, seed: Column | str = "seed", support: Column | str = "support") -> tuple[DataFrame, dict[str, Any]]:
     xs, keys = axes(ps.points, config.use_3d), config.keys
-    masks = [(F.col(m) if isinstance(m, str) else m) for m in (seed, support)]
+    masks = [(F.expr(m) if isinstance(m, str) else m) for m in (seed, support)]
     p = ps.points.withColumns({"_seed": F.coalesce(masks[0], F.lit(False)), "_support": F.coalesce(masks[1], F.lit(False))})
     if p.filter("_seed and not _support").limit(1).count():
         raise ValueError("every seed must be a support point")

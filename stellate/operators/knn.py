@@ -47,7 +47,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, axes: list[str], key
         best = best.withColumn("_ok", F.col("_whole") | (F.max(F.when(F.col("rank") == k, F.col("_d2") <= F.col("_w2"))).over(Window.partitionBy(*group, "a_emitter_idx"))))
         found = written(best.filter("_ok").select(*keys, F.col("a_emitter_idx").alias("src"), F.col("b_emitter_idx").alias("dst"), F.sqrt("_d2").alias("d"), F.col("rank").cast("int")), "knn")
         done = found if done is None else done.unionByName(found)
-        rest = todo.join(sized, group).filter(w < F.col("_e")).select(todo["*"]).join(found.select(F.col("src").alias("emitter_idx")).distinct(), "emitter_idx", "left_anti")
+        rest = todo.join(sized, group).filter(w < F.col("_e")).select(todo["*"]).join(found.select(*keys, F.col("src").alias("emitter_idx")).distinct(), [*keys, "emitter_idx"], "left_anti")
         rest = written(rest.select(todo.columns), "todo")
         if not rest.limit(1).count():
             drop_written(rest)

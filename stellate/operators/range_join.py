@@ -36,7 +36,7 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, axes: list[str]
     keys, keep = keys or [], keep or []
     # a cell slightly larger than the radius keeps rounding of x / size harmless
     size = radius * (1 + 1e-9)
-    cols = ["emitter_idx", *axes, *keep]
+    cols = list(dict.fromkeys(["emitter_idx", *axes, *keep]))
     one = lambda df, p, around: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in cols], F.explode(_cells(axes, size, around)).alias("cell"))
     d2 = squared_distance(axes)
     near = d2 < F.lit(radius * radius) if strict else d2 <= F.lit(radius * radius)
