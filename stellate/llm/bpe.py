@@ -2,15 +2,18 @@
 
 A text is cut where a rolling hash of the bytes before a space says so, so copies of a
 passage fall into the same chunks wherever they stand. Each chunk is encoded once in a
-worker and kept. Where two chunks meet, the last pieces of the left one and the first pieces
-of the right one are encoded again as one text; pieces of both sides are added until the
-outcome agrees with what each side had, and then replace it. Cuts stand before single spaces
-between other characters, where a piece always ends, so this is nearly always at once.
+worker and kept. Where two chunks meet, the last words of the left one and the first words
+of the right one are encoded again as one text by the tokenizer; words of both sides are
+added until the outcome agrees with what each side had, and then the chunks are joined. Cuts
+stand before single spaces between other characters, where a piece of the tokenizer's own
+always ends, so this is nearly always at once.
 
-Within a chunk, pieces between spaces are looked up in a second memory; pieces that the plain
-rules can't be sure of (unusual white space) go to the tokenizer whole.
+A new chunk's words that no chunk held before are encoded together, in one call for a batch
+of documents, and cut apart again: by token bytes for the byte-level tokenizer, by offsets
+for the other one. Chunks with unusual white space go to the tokenizer whole.
 
-Memories are bounded by entries; when full they are emptied, which costs time only.
+Memories live as long as a worker and are bounded by entries; when full they are emptied,
+which costs time only.
 
 Defined cases: null and empty texts have no tokens; equal texts have equal tokens; repeated
 rows are encoded each; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +22,7 @@ rows are encoded each; an empty table gives an empty result; other columns are i
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -26,29 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .tables import per_text, table
 
-#: Characters for which the plain pattern below and the tokenizer's agree.
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_DIGIT = "0-9²³¹¼½¾"
-_ODD = re.compile("[^\\t\\n\\v\\f\\r\\x20-\\x7e¡-ɏ‐-‧‰-⁞€]")
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+")
 _LOOSE = re.compile(r" \s|\s |\s\Z|\A\s")
 #: White space to str.split() or to the tokenizer, but not surely to both.
-_UNSURE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-WORDS, CHUNKS, CHUNK_BITS = 300_000, 20_000, 9
-
-
-class Memo(dict):
-    """A dictionary that fills itself through `make` and is emptied at `limit` entries."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[key] = self.make(key)
-        return out
+_UNSURE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+WORDS, CHUNKS, CHUNK_BITS, TOGETHER = 500_000, 20_000, 9, 20_000
 
 
 def packed(ids: list[int]) -> bytes:
@@ -56,6 +41,7 @@ def packed(ids: list[int]) -> bytes:
 
 
 def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -64,28 +50,46 @@ def load(path: str):
     return tok
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(kind, path: str):
+    """An encoder that this process keeps from task to task."""
+    if (kind.__name__, path) not in _KEPT:
+        _KEPT[kind.__name__, path] = kind(path)
+    return _KEPT[kind.__name__, path]
+
+
 class WordEncoder:
     """For a tokenizer that drops white space: ids (little-endian 32-bit) of whole texts, word by word."""
 
     def __init__(self, path: str):
-        self.tok = load(path)
-        self.parts = Memo(self._whole, WORDS)
-        self.words = Memo(self._word, WORDS)
+        self.tok, self.words = load(path), {}
 
     def _whole(self, s: str) -> bytes:
         return packed(self.tok.encode(s, add_special_tokens=False).ids)
 
-    def _word(self, w: str) -> bytes:
-        if len(w) > 200:
-            return self._whole(w)
-        if _ODD.search(w) or "<|" in w or "'" in w:
-            return self.parts[w]
-        return b"".join(map(self.parts.__getitem__, re.findall(rf"[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}]+", w)))
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > WORDS:
+            self.words.clear()
+            new = list(words)
+        for a in range(0, len(new), TOGETHER):
+            some = new[a : a + TOGETHER]
+            got = self.tok.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            starts = np.fromiter((x for x, _ in got.offsets), np.int64, len(ids))
+            at = np.searchsorted(starts, np.r_[0, np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)])
+            for w, x, y in zip(some, at.tolist(), at[1:].tolist(), strict=False):
+                self.words[w] = ids[x:y].tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut = [None if _UNSURE_SPACE.search(t) else t.split() for t in texts]
+        self._learn({w for c in cut if c for w in c})
+        return [self._whole(t) if c is None else b"".join(map(self.words.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        if _UNSURE_SPACE.search(text):
-            return self._whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return self.encode_all([text])[0]
 
 
 class ChunkEncoder:
@@ -93,41 +97,38 @@ class ChunkEncoder:
 
     def __init__(self, path: str, bits: int = CHUNK_BITS):
         self.tok, self.mask = load(path), np.uint64((1 << bits) - 1)
-        self.special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.parts = Memo(self._whole, WORDS)
-        self.words = Memo(self._word, WORDS)
-        self.chunks = Memo(self._chunk, CHUNKS)
+        special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.joins = self.repaired = 0
         vocab = self.tok.get_vocab(with_added_tokens=True)
         shown = {c: b for b, c in _shown_bytes().items()}
-        table = [b""] * (max(vocab.values()) + 1)
+        self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for s, i in vocab.items():
-            table[i] = bytes(shown[c] for c in s) if s not in self.special else s.encode()
-        self.bytes_of = table
+            self.bytes_of[i] = s.encode() if s in special else bytes(shown[c] for c in s)
+        self.length = np.array(list(map(len, self.bytes_of)), np.int64)
 
     def _whole(self, s: str) -> bytes:
         return packed(self.tok.encode(s, add_special_tokens=False).ids)
 
-    def _plain(self, s: str) -> bool:
-        return not _ODD.search(s) and not any(x in s for x in self.special)
-
-    def _word(self, w: str) -> bytes:
-        return self._direct(" " + w)
-
-    def _direct(self, s: str) -> bytes:
-        if len(s) <= 200 and self._plain(s):
-            return b"".join(map(self.parts.__getitem__, _PIECE.findall(s)))
-        return self._whole(s)
-
-    def _chunk(self, s: str) -> bytes:
-        """A chunk begins with a space, or is the first one of its text."""
-        if _LOOSE.search(s[1:]) or _UNSURE_SPACE.search(s):
-            return self._whole(s)
-        head, *rest = s.split(" ")
-        return (self._direct(head) if head else b"") + b"".join(map(self.words.__getitem__, rest))
+    def _learn(self, words: set[str]) -> None:
+        """Words as they stand after a space."""
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > WORDS:
+            self.words.clear()
+            new = list(words)
+        for a in range(0, len(new), TOGETHER):
+            some = [" " + w for w in new[a : a + TOGETHER]]
+            ids = np.array(self.tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in some), np.int64, len(some)))
+            at = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
+            x = 0
+            for w, y in zip(some, at.tolist(), strict=True):
+                self.words[w[1:]] = ids[x:y].tobytes()
+                x = y
 
     def cut(self, text: str) -> list[str]:
-        """Content-defined chunks: cuts before spaces between ASCII letters or marks where a hash of the 8 bytes before is 0 in its low bits."""
+        """Content-defined chunks: cuts before spaces between ASCII letters or marks where a hash of the 8 bytes before is small in its low bits."""
         data = text.encode()
         if len(data) < 256:
             return [text]
@@ -145,34 +146,83 @@ class ChunkEncoder:
         ends = [0, *at.tolist(), len(data)]
         return [data[x:y].decode() for x, y in zip(ends, ends[1:], strict=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not text:
+    @staticmethod
+    def _by_words(chunk: str) -> bool:
+        return chunk.startswith(" ") and not _LOOSE.search(chunk[1:]) and not _UNSURE_SPACE.search(chunk)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(t) if t else [] for t in texts]
+        chunks = {c for cs in cut for c in cs}
+        new = [c for c in chunks if c not in self.chunks]
+        if len(self.chunks) + len(new) > CHUNKS:
+            self.chunks.clear()
+            new = list(chunks)
+        plain, whole = [], []
+        for c in new:
+            (plain if self._by_words(c) else whole).append(c)
+        split = [c[1:].split(" ") for c in plain]
+        self._learn({w for ws in split for w in ws})
+        for c, ws in zip(plain, split, strict=True):
+            self.chunks[c] = b"".join(map(self.words.__getitem__, ws))
+        for c, e in zip(whole, self.tok.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.chunks[c] = packed(e.ids)
+        ends = {c: self._ends(c) for c in chunks}
+        seams = sorted({ends[a][1] + ends[b][0] for cs in cut for a, b in zip(cs, cs[1:], strict=False)})
+        seam = {s: packed(e.ids) for s, e in zip(seams, self.tok.encode_batch_fast(seams, add_special_tokens=False), strict=True)}
+        sides = sorted({x for e in ends.values() for x in e})
+        side = {s: packed(e.ids) for s, e in zip(sides, self.tok.encode_batch_fast(sides, add_special_tokens=False), strict=True)}
+        return [self._joined(cs, ends, seam, side) for cs in cut]
+
+    @staticmethod
+    def _safe(c: str, i: int) -> bool:
+        """Whether a piece surely ends before the space at i."""
+        return 0 < i < len(c) - 1 and not (c[i - 1].isspace() or c[i + 1].isspace() or _UNSURE_SPACE.match(c[i - 1]) or _UNSURE_SPACE.match(c[i + 1]))
+
+    @classmethod
+    def _ends(cls, c: str, more: int = 0) -> tuple[str, str]:
+        """The first and the last words of a chunk, up to places where a piece surely ends; more words each time they didn't agree."""
+        head, tail = c.find(" ", 1), c.rfind(" ", 0, max(len(c) - 4, 0))
+        while more >= 0 and (head > 0 or tail > 0):
+            while head > 0 and not cls._safe(c, head):
+                head = c.find(" ", head + 1)
+            while tail > 0 and not cls._safe(c, tail):
+                tail = c.rfind(" ", 0, tail)
+            if not more:
+                break
+            more -= 1
+            head = c.find(" ", head + 1) if head > 0 else head
+            tail = c.rfind(" ", 0, tail) if tail > 0 else tail
+        return (c[:head] if head > 0 else c), (c[tail:] if tail > 0 else c)
+
+    def _joined(self, cs: list[str], ends: dict, seam: dict, side: dict) -> bytes:
+        if not cs:
             return b""
-        chunks = self.cut(text)
-        out = self.chunks[chunks[0]]
-        if len(chunks) == 1:
-            return out
-        parts, left = [], chunks[0]
-        for right in chunks[1:]:
-            out, left = self._joined(parts, out, left, right)
-        parts.append(out)
+        parts, left, a = [], cs[0], self.chunks[cs[0]]
+        for right in cs[1:]:
+            b = self.chunks[right]
+            self.joins += 1
+            h, t = ends[right][0], (ends[left] if left in ends else self._ends(left))[1]
+            x, y = (side[t] if t in side else self._whole(t)), side[h]
+            both, more = (seam[t + h] if t + h in seam else self._whole(t + h)), 0
+            while not (both == x + y and a.endswith(x) and b.startswith(y)) and not (t == left and h == right):
+                self.repaired += 1
+                more += 1
+                h, t = self._ends(right, more)[0], self._ends(left, more)[1]
+                x, y, both = self._whole(t), self._whole(h), self._whole(t + h)
+            if both == x + y and a.endswith(x) and b.startswith(y):
+                if h == right:  # no sure place in it: the next seam looks further back
+                    left, a = left + right, a + b
+                else:
+                    parts.append(a)
+                    left, a = right, b
+            else:  # both are whole and don't agree: one chunk
+                self.repaired += 1
+                left, a = left + right, both
+        parts.append(a)
         return b"".join(parts)
 
-    def _joined(self, parts: list[bytes], a: bytes, left: str, right: str) -> tuple[bytes, str]:
-        """Keep in parts what of a is settled; return what may still change, with its text."""
-        b = self.chunks[right]
-        self.joins += 1
-        n, m = left.rfind(" ", 0, max(len(left) - 4, 0)), right.find(" ", 4)
-        while True:
-            tail, head = (left[n:] if n > 0 else left), (right[:m] if m > 0 else right)
-            seam, x, y = self._direct(tail + head), self._direct(tail), self._direct(head)
-            if seam == x + y and a.endswith(x) and b.startswith(y):
-                parts.append(a)
-                return b, right
-            self.repaired += 1
-            if n <= 0 and m <= 0:  # both whole: no agreement short of one chunk
-                return self._whole(left + right), left + right
-            n, m = (left.rfind(" ", 0, n) if n > 0 else 0), (right.find(" ", m + 1) if m > 0 else -1)
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """As decode(ids, skip_special_tokens=False): the tokens' bytes, invalid sequences replaced."""
@@ -188,15 +238,14 @@ def _shown_bytes() -> dict[int, str]:
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     def make():
-        enc = ChunkEncoder(path)
+        enc = kept(ChunkEncoder, path)
 
-        def one(t: str) -> tuple:
-            ids = enc.encode(t)
-            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(enc.decode(ids).encode()).hexdigest()
+        def some(texts: list[str]) -> list[tuple]:
+            return [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(enc.decode(ids).encode()).hexdigest()) for ids in enc.encode_all(texts)]
 
-        return one
+        return some
 
-    return per_text(docs, [key], "n_tokens long, ids_sha256 string, decoded_sha256 string", make, text)
+    return per_text(docs, [key], "n_tokens long, ids_sha256 string, decoded_sha256 string", make, text, together=True)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Memo
 from .tables import small_batches, table
 
 K_WORDS, TUPLE, SKETCHES, LONGEST, SEED = 3, 2, 64, 16, 11
@@ -44,6 +43,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Memo(dict):
+    """A dictionary that fills itself through `make` and is emptied at `limit` entries."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        out = self[key] = self.make(key)
+        return out
+
+
 class Sketcher:
     def __init__(self, k: int = K_WORDS, tuple_size: int = TUPLE, sketches: int = SKETCHES, seed: int = SEED):
         from xxhash import xxh64_intdigest

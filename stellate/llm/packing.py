@@ -25,7 +25,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import WordEncoder
+from .bpe import WordEncoder, kept
 from .tables import per_text, table, written
 
 SIZE, END = 2048, 1
@@ -37,15 +37,15 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, key: st
     close = end.to_bytes(4, "little")
 
     def make():
-        enc = WordEncoder(path)
+        enc = kept(WordEncoder, path)
 
-        def one(t: str) -> tuple:
-            ids = memoryview(enc.encode(t) + close)
-            return len(ids) // 4, [zlib.crc32(ids[a : a + 4 * size]) for a in range(0, len(ids), 4 * size)]
+        def some(texts: list[str]) -> list[tuple]:
+            whole = [memoryview(ids + close) for ids in enc.encode_all(texts)]
+            return [(len(ids) // 4, [zlib.crc32(ids[a : a + 4 * size]) for a in range(0, len(ids), 4 * size)]) for ids in whole]
 
-        return one
+        return some
 
-    rows = per_text(docs, [key], "doc_tokens long, crcs array<long>", make, text)
+    rows = per_text(docs, [key], "doc_tokens long, crcs array<long>", make, text, together=True)
     rows = rows.select(key, "doc_tokens", F.posexplode("crcs").alias("at", "ids_crc32"))
     start = F.col("at").cast("long") * size
     return rows.select(key, start.alias("start"), F.least(F.lit(size), F.col("doc_tokens") - start).cast("long").alias("length"), "ids_crc32", "doc_tokens")

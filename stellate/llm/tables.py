@@ -18,11 +18,11 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def per_text(df: DataFrame, keep: list[str], schema: str, make, text: str = "text") -> DataFrame:
+def per_text(df: DataFrame, keep: list[str], schema: str, make, text: str = "text", together: bool = False) -> DataFrame:
     """One output row per input row: the columns of `keep` as they are, then what make()(text) returns.
 
     make is called once in each Python worker task; it returns the function from a text (null
-    as "") to a tuple that fits `schema`. Batches stay small, so memory is bounded by a batch.
+    as "") to a tuple that fits `schema`, or with `together` from a list of texts to a list of tuples. Batches stay small, so memory is bounded by a batch.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -38,7 +38,8 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make, text: str = "tex
         kinds = [to_arrow_type(f.dataType) for f in added.fields]
         fn = make()
         for b in batches:
-            rows = [fn(t or "") for t in b.column(len(keep)).to_pylist()]
+            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
+            rows = fn(texts) if together else [fn(t) for t in texts]
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[f.name for f in out.fields])
 
