@@ -59,6 +59,11 @@ def words_of(norm: Column) -> Column:
     return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
 
 
+def row_name(key: str, text: str) -> list[Column]:
+    body = F.coalesce(F.col(text), F.lit(""))
+    return [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.xxhash64(body).alias("t"), F.octet_length(body).alias("nb")]
+
+
 def token_order(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text") -> list[str]:
     """The templates' words by document frequency over all documents, rarest first, ties by word."""
     vocab = sorted({w for t in templates.values() for w in t.split()})
@@ -69,9 +74,9 @@ def token_order(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: st
 
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (row_no, label, containment): every (document row, template) with a block that meets the threshold.
+    """Rows (k, t, nb, label, containment): every (document, template) with a block that meets the threshold.
 
-    ``docs`` needs a column row_no that tells rows apart.
+    A document is told by its key as a string, a hash of its text and the text's bytes.
     """
     spark = docs.sparkSession
     order = token_order(docs, templates, text)
@@ -82,25 +87,25 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
     probes = spark.createDataFrame(prefix, "p int, label string, i int, size int, need int, members array<int>")
     places = F.create_map(*[F.lit(x) for w in order for x in (w, place[w])])
     rare = F.array(*[F.lit(order[p]) for p in sorted({x[0] for x in prefix})])
-    words = docs.select("row_no", words_of(normal(text)).alias("words")).filter(F.arrays_overlap("words", rare))
+    words = docs.select(*row_name(key, text), words_of(normal(text)).alias("words")).filter(F.arrays_overlap("words", rare))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - F.lit(BLOCK - STRIDE + 1), F.lit(0)), F.lit(STRIDE))
     vocab = F.array(*map(F.lit, order))
-    blocks = words.select("row_no", F.explode(F.transform(starts, lambda s: F.array_intersect(F.slice("words", s + 1, BLOCK), vocab))).alias("held"))
+    name = ["k", "t", "nb"]
+    blocks = words.select(*name, F.explode(F.transform(starts, lambda s: F.array_intersect(F.slice("words", s + 1, BLOCK), vocab))).alias("held"))
     blocks = blocks.filter(F.size("held") >= min(need.values())).filter(F.arrays_overlap("held", rare))
-    blocks = blocks.select("row_no", F.array_sort(F.transform("held", lambda w: F.element_at(places, w))).alias("b"))
-    tokens = blocks.select("row_no", "b", F.posexplode("b").alias("j", "p"))
+    blocks = blocks.select(*name, F.array_sort(F.transform("held", lambda w: F.element_at(places, w))).alias("b"))
+    tokens = blocks.select(*name, "b", F.posexplode("b").alias("j", "p"))
     common = F.size(F.array_intersect("b", "members"))
     pairs = tokens.join(F.broadcast(probes), "p")  # one row for each prefix word: a constant
     pairs = pairs.filter((F.size("b") >= F.col("need")) & (1 + F.col("i") + F.least(F.col("size") - F.col("i") - 1, F.size("b") - F.col("j") - 1) >= F.col("need")))
     pairs = pairs.filter(common >= F.col("need"))
-    return pairs.groupBy("row_no", "label").agg(F.max(common / F.col("size")).alias("containment"))
+    return pairs.groupBy(*name, "label").agg(F.max(common / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: base places, labels of base and method, score."""
-    docs = docs.select(F.col(key), F.col(text)).withColumn("row_no", F.monotonically_increasing_id())
-    found = matches(docs, key, text, templates, threshold).groupBy("row_no").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
-    x = docs.select("row_no", key, normal(text).alias("norm")).withColumns({"padded": F.concat(F.lit(" "), F.col("norm"), F.lit(" "))})
+    found = matches(docs, key, text, templates, threshold).groupBy("k", "t", "nb").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    x = docs.select(key, *row_name(key, text), normal(text).alias("norm")).withColumns({"padded": F.concat(F.lit(" "), F.col("norm"), F.lit(" "))})
     gaps = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     n_words = F.when(F.col("norm") == "", 0).otherwise(gaps(F.col("norm")) + 1)
     counts, firsts, lasts, labels = [], [], [], []
@@ -110,11 +115,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
         firsts.append(F.when(held, gaps(F.substring_index("padded", f" {phrase} ", 1))))
         lasts.append(F.when(held, n_words - gaps(F.substring_index("padded", f" {phrase} ", -1)) - len(phrase.split())))
         labels.append(F.when(held, F.lit(label)))
-    x = x.select("row_no", key, n_words.cast("long").alias("n_words"), sum(counts[1:], counts[0]).cast("long").alias("n_base"), F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"), F.array_compact(F.array(*labels)).alias("base"))
-    x = x.join(found, "row_no", "left")
+    x = x.select("k", "t", "nb", F.col(key).alias("_key"), n_words.cast("long").alias("n_words"), sum(counts[1:], counts[0]).cast("long").alias("n_base"), F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"), F.array_compact(F.array(*labels)).alias("base"))
+    x = x.join(found, ["k", "t", "nb"], "left")
     both = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
-    return x.select(key, "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"))
+    return x.select(F.col("_key").alias(key), "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
