@@ -156,7 +156,8 @@ def labelled(points: DataFrame, cells: list[dict], membrane: float, fov, tol: fl
             with np.errstate(invalid="ignore"):
                 yield pdf.assign(**{"class": np.where(~held, OUTSIDE, np.where(d < membrane, MEMBRANE, INTERIOR)), "inside_outer": held, "dist_to_outer_um": d})
 
-    return points.mapInPandas(run, schema)
+    # NaN, not null, at the edge of the API
+    return points.mapInPandas(run, schema).withColumn("dist_to_outer_um", F.coalesce("dist_to_outer_um", F.lit(math.nan)))
 
 
 def loop_diagnostics(points: DataFrame, loops: list[R.Ring], cells: list[dict], fov, dense: float) -> list[dict]:

@@ -119,4 +119,5 @@ def test_hdbscan_two_blobs_and_bridges():
     for k in (10, 5):
         labels = trees.hdbscan(x, *_knn(x, k), 5, halo=0.0)[0]
         assert len({*labels[:60]} - {0}) >= 1 and not ({*labels[:60]} & {*labels[60:]}) - {0}
-    assert not trees.hdbscan(x[:3], *_knn(x[:3], 2)[:3], np.ones(3), 5)[0].any()
+    none = np.empty(0, int)
+    assert not trees.hdbscan(x[:3], none, none, np.empty(0), np.ones(3), 5)[0].any()
