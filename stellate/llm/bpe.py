@@ -33,6 +33,8 @@ from .tables import per_text, table
 _LOOSE = re.compile(r" \s|\s |\s\Z|\A\s")
 #: White space to str.split() or to the tokenizer, but not surely to both.
 _UNSURE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Letters alone, whose lower case is letters again, and ASCII marks after them: each is one piece to the word tokenizer.
+_CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@\[-`{-~]*)")
 WORDS, CHUNKS, CHUNK_BITS, TOGETHER = 500_000, 20_000, 9, 20_000
 
 
@@ -64,7 +66,12 @@ class WordEncoder:
     """For a tokenizer that drops white space: ids (little-endian 32-bit) of whole texts, word by word."""
 
     def __init__(self, path: str):
-        self.tok, self.words = load(path), {}
+        self.tok, self.words, self.cores = load(path), {}, {}
+        self.marks: dict[str, bytes] = {}
+        suffix = self.tok.model.end_of_word_suffix
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocab.values()) + 1, bool)
+        self.closing[[i for s, i in vocab.items() if suffix and s.endswith(suffix)]] = True
 
     def _whole(self, s: str) -> bytes:
         return packed(self.tok.encode(s, add_special_tokens=False).ids)
@@ -73,9 +80,19 @@ class WordEncoder:
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > WORDS:
             self.words.clear()
+            self.cores.clear()
             new = list(words)
-        for a in range(0, len(new), TOGETHER):
-            some = new[a : a + TOGETHER]
+        parts, others = [], []
+        for w in new:
+            m = _CORE.fullmatch(w)
+            parts.append((w, m[1].lower(), m[2])) if m else others.append(w)
+        self._learn_cores([c for c in dict.fromkeys(c for _, c, _ in parts) if c not in self.cores])
+        for w, core, marks in parts:
+            if marks and marks not in self.marks:
+                self.marks[marks] = self._whole(marks)
+            self.words[w] = self.cores[core] + self.marks[marks] if marks else self.cores[core]
+        for a in range(0, len(others), TOGETHER):
+            some = others[a : a + TOGETHER]
             got = self.tok.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             starts = np.fromiter((x for x, _ in got.offsets), np.int64, len(ids))
@@ -83,6 +100,19 @@ class WordEncoder:
             for w, x, y in zip(some, at.tolist(), at[1:].tolist(), strict=False):
                 self.words[w] = ids[x:y].tobytes()
 
+    def _learn_cores(self, cores: list[str]) -> None:
+        """Words that are one piece each, so each ends at a token that ends a word."""
+        for a in range(0, len(cores), TOGETHER):
+            some = cores[a : a + TOGETHER]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                raise RuntimeError("the tokenizer cut a word of letters")
+            data, x = ids.tobytes(), 0
+            for c, y in zip(some, ends, strict=True):
+                self.cores[c] = data[4 * x : 4 * y]
+                x = y
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         cut = [None if _UNSURE_SPACE.search(t) else t.split() for t in texts]
         self._learn({w for c in cut if c for w in c})
