@@ -24,5 +24,5 @@ def test_against_sql(spark, name):
     for t in ("events", "embeddings", "orders", "lineitem"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = registry.QUERIES[name](spark, SF)
-    want = c.execute(registry.ORACLE[name]).fetch_arrow_table().select(got.columns).to_pylist()
+    want = c.execute(registry.ORACLE[name]).to_arrow_table().select(got.columns).to_pylist()
     assert sorted(map(str, (r.asDict() for r in got.collect()))) == sorted(map(str, want))
