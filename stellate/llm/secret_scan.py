@@ -2,12 +2,18 @@
 
 Base kinds are plain patterns: assign, access, hex. The method's kinds are reported only
 after decoding: ``key`` for a private key (base64, PEM or hex) whose nested lengths parse as
-PKCS#1, PKCS#8, SEC1 or the OpenSSH format, and ``jwt`` for a signed token whose header and
+PKCS#1, PKCS#8, SEC1 or the OpenSSH format, also wrapped over lines, and ``jwt`` for a signed token whose header and
 claims decode to JSON objects with an algorithm.
 
 Spans are code points, end exclusive. Base spans are whole matches of the pattern, found
 leftmost and without overlap within a kind; the method's spans may overlap them.
 
+Wrapped keys: a key is also read from its head (the bytes that every such structure starts
+with, in base64 or hex), taking as many characters as its own nested length asks for from the
+runs that follow. Between runs may stand white space, written escapes, quotes, signs of
+concatenation, quotation and comments; in base64 also anything short, if all lines but the last
+are as long as the first. Marks of PEM around a key belong to its span.
+
 Defined cases: null and empty texts have no spans; repeated rows are scanned each; spans of
 equal start are ordered by kind as listed in KINDS, then by end; an empty table gives an empty result;
 other columns are ignored. Texts are scanned whole, one at a time.
@@ -33,6 +39,21 @@ PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]
 RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 RUNHEX = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+")
+_ANY64, _LOW00 = "[A-Za-z0-9+/_-]", "[AEIMQUYcgkosw048]"
+#: SEQUENCE of any form of length, then INTEGER 0 or 1, in base64; or the OpenSSH magic.
+HEAD64 = re.compile(rf"M(?:I(?:[I-L]{_ANY64}{{2}}[AQgw]IBA[A-Za-z]|[E-H]{_ANY64}AgE[AB]|[M-P]{_ANY64}{{3}}{_LOW00}CAQ[A-H]|[Q-T]{_ANY64}{{5}}AgE[AB])|[A-H]{_LOW00}CAQ[A-H])|b3BlbnNzaC1rZXktdjEA")
+_ESCAPE = r"\\+(?:[nrt]|u00[0-9A-Fa-f]{2})|%0[AaDd]|&#(?:1[03]|x0?[AaDd]);|&(?:quot|gt);|<br ?/?>"
+_GAP = r"[\s\"'`>,.;:#*|\\&=()!%$<{}\[\]]"
+PIECE64 = re.compile(rf"({_ESCAPE})|({_ANY64}+)|{_GAP}")
+_SEP = r"(?:\\+[nrt]|[\s\"'`>,.;:#*|+/_{}()&-]|\\+(?=x)|0?[xX])*"
+HEADHEX = re.compile(r"30S(?:82S..S..S|81S..S|83S..S..S..S|84S..S..S..S..S|[0-7].S)02S01S0[01]".replace("..", "hh").replace(".", "h").replace("h", "[0-9A-Fa-f]").replace("S", _SEP) + "|" + _SEP.join("(?:" + "".join(f"[{c.lower()}{c.upper()}]" for c in f"{b:02x}") + ")" for b in b"openssh-key-v1\0"))
+PIECEHEX = re.compile(r"(\\+[nrt]|\\+x|0[xX])|((?:(?!0[xX])[0-9A-Fa-f]{2})+)|[\s\"'`>,.;:#*|+/_{}()&-]")
+#: Where a head may stand: not within a run, unless an escape, a mark or a sign glued to the line ends there.
+_OPEN64 = re.compile(rf"(?<!{_ANY64})|(?<=\\[nrt])|(?<=\\u000[AaDd])|(?<=%0[AaDd])|(?<=-----)|(?<=\n[+/_-])|(?<=\n[+/_-][+/_-])")
+_OPENHEX = re.compile(r"(?<![0-9A-Fa-f])")
+_MARK = re.compile(r"-----(?:BEGIN|END) (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+#: Most characters between two lines of a wrapped key.
+APART = 256
 _HEX_AS_X = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
 _B64_AS_X = bytes(120 if chr(c).isascii() and (chr(c).isalnum() or c in b"+/-_") else 32 for c in range(256))
 
@@ -90,6 +111,133 @@ def _decoded(run: str) -> bytes:
         return b""
 
 
+def extent(data: bytes) -> int | None:
+    """Bytes of the structure that starts here, by its own lengths; None if they lie beyond what is given, 0 if there is none."""
+    if data[:1] == b"0":
+        if len(data) < 2 or len(data) < 2 + (k := data[1] & 0x7F if data[1] & 0x80 else 0):
+            return None
+        return 0 if k > 4 or data[1] == 0x80 else 2 + k + int.from_bytes(data[2 : 2 + k], "big") if k else 2 + data[1]
+    at, left = 15, 3
+    while left:
+        if at + 4 > len(data):
+            return None
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+    if at + 4 > len(data):
+        return None
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 16:
+        return 0
+    for _ in range(keys + 1):  # public keys, then the private ones together
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at
+
+
+class _Gathered:
+    """Characters of one key and where each piece stands in the text."""
+
+    def __init__(self, bits: int):
+        self.bits, self.pieces, self.n, self.total, self.tried = bits, [], 0, None, 0
+
+    def add(self, start: int, run: str) -> bool:
+        """True once all characters of the key are there, or it can't be one."""
+        self.pieces.append((start, run))
+        self.n += len(run)
+        if self.total is None and self.n >= self.tried:
+            self.tried = self.n + self.n // 4
+            self.total = extent(self.bytes())
+        return self.total is not None and self.n >= self.need()
+
+    def need(self) -> int:
+        return -(-self.total * 8 // self.bits)
+
+    def bytes(self) -> bytes:
+        chars = "".join(run for _, run in self.pieces)
+        if self.bits == 4:
+            return bytes.fromhex(chars[: len(chars) // 2 * 2])
+        chars = chars if self.total is None else chars[: self.need()]
+        return _decoded(chars[:-1] if len(chars) % 4 == 1 else chars)
+
+    def end(self) -> int | None:
+        """End of the key in the text, if it is one and its last run ends with it."""
+        if not self.total or self.n != self.need() or not private_key(self.bytes()[: self.total]):
+            return None
+        return self.pieces[-1][0] + len(self.pieces[-1][1])
+
+
+def _in_a_row(text: str, at: int, piece: re.Pattern, bits: int, signs: bool, glued: str = "") -> int | None:
+    """End of a key whose runs are parted only by what `piece` allows; runs of signs alone count if `signs`."""
+    got, since = _Gathered(bits), at
+    while (m := piece.match(text, at)) and at - since <= APART:
+        if run := m[2]:
+            start, run, more = at, *run.partition("-----")[:2]
+            if glued and text[at - 1 : at] == "\n" and run.startswith(glued):
+                start, run = at + len(glued), run[len(glued) :]
+            if run and (signs or bits == 4 or len(run) > 3 or run.strip("+/_-")):
+                if got.add(start, run):
+                    break
+                since = m.end()
+            if more:
+                break
+        at = m.end()
+    if got.total is None and got.n:
+        got.total = extent(got.bytes())
+    return got.end()
+
+
+def _by_width(text: str, at: int) -> int | None:
+    """End of a base64 key whose lines but the last are as long as the first, whatever stands between them."""
+    got, width, since = _Gathered(6), 0, at
+    for m in PIECE64_ANY.finditer(text, at):
+        if m.start() - since > APART:
+            break
+        if not m[2]:
+            continue
+        run = m[2].partition("-----")[0]
+        width = width or len(run)
+        last = got.need() - got.n if got.total is not None else None
+        if last is not None and last < width:
+            if len(run) != last:
+                continue
+        elif len(run) != width:
+            continue
+        if got.add(m.start(), run):
+            break
+        since = m.end()
+    return got.end()
+
+
+PIECE64_ANY = re.compile(rf"({_ESCAPE})|({_ANY64}+)")
+
+
+def wrapped_key(text: str, at: int, hexed: bool) -> int | None:
+    """End of the key whose head stands at `at`."""
+    if hexed:
+        return _in_a_row(text, at, PIECEHEX, 4, True)
+    glued = re.search(r"(?:^|\n)([+/_-]{1,3})$", text[max(0, at - 4) : at])
+    return _in_a_row(text, at, PIECE64, 6, False) or _in_a_row(text, at, PIECE64, 6, True) or (_in_a_row(text, at, PIECE64, 6, True, glued[1]) if glued else None) or _by_width(text, at)
+
+
+def wrapped_keys(text: str, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of keys that are told by their heads and lie in none of `known`."""
+    out: list[tuple[int, int]] = []
+    marks = None
+    for a, hexed in sorted([(m.start(), hexed) for head, begins, hexed in ((HEAD64, _OPEN64, False), (HEADHEX, _OPENHEX, True)) for m in head.finditer(text) if begins.match(text, m.start())]):
+        if any(x <= a < y for x, y in known) or out and a < out[-1][1] or (b := wrapped_key(text, a, hexed)) is None:
+            continue
+        while not hexed and b < len(text) and text[b] == "=":
+            b += 1
+        if marks is None:
+            marks = [(m.start(), m.end(), m[0][5:10] == "BEGIN") for m in _MARK.finditer(text)]
+        before = max((x for x in marks if x[1] <= a), default=None)
+        after = min((x for x in marks if x[0] >= b), default=None)
+        if before and after and before[2] and not after[2]:
+            a, b = before[0], after[1]
+        out.append((a, b))
+    return out
+
+
 def signed_token(run: str) -> bool:
     try:
         head, claims = (json.loads(_decoded(x)) for x in run.split(".")[:2])
@@ -111,6 +259,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     keys: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         keys += [m.span() for m in PEM.finditer(text) if private_key(_decoded(re.sub(r"\s", "", m[2])))]
+    keys += wrapped_keys(text, keys)
     if b"x" * 40 in one.translate(_B64_AS_X):
         for m in RUN64.finditer(text):
             if not any(a <= m.start() and m.end() <= b for a, b in keys) and (private_key(_decoded(m[0])) or any(private_key(bytes.fromhex(h[0])) for h in RUNHEX.finditer(m[0]) if h[0] == m[0].rstrip("="))):

@@ -67,6 +67,55 @@ def test_structures_are_confirmed_and_lookalikes_not():
     assert secret_scan.private_key(b"openssh-key-v1\0" + b"\0\0\0\4none" * 2 + b"\0\0\0\0" + b"\0\0\0\1") == "openssh"
 
 
+def openssh():
+    text = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + text(b"none") * 2 + text(b"") + b"\0\0\0\1" + text(b"p" * 51) + text(random.Random(3).randbytes(136))
+
+
+SEC1 = der(0x30, der(2, b"\1") + der(4, random.Random(4).randbytes(32)) + der(0xA0, der(6, b"\x2b\x81\x04\x00\x0a")))
+WRAPS = {
+    "plain": lambda x: "\n".join(x),
+    "crlf": lambda x: "\r\n".join(x),
+    "json": lambda x: r"\n".join(x),
+    "json twice": lambda x: r"\\n".join(x).replace("/", r"\/"),
+    "mail": lambda x: "\n".join("> " + y for y in x),
+    "comment": lambda x: "\n".join("# " + y for y in x),
+    "slashes": lambda x: "\n".join("// " + y for y in x),
+    "added": lambda x: "\n".join("+" + y for y in x),
+    "source": lambda x: " +\n    ".join(f'"{y}\\n"' for y in x),
+    "joined": lambda x: '"' + '"  "'.join(x) + '"',
+    "list": lambda x: ",\n".join(f"  '{y}'" for y in x),
+}
+CALLS = {"calls": lambda x: "\n".join(f'sb.append("{y}");' for y in x), "numbered": lambda x: "\n".join(f"line {i} {y}" for i, y in enumerate(x))}
+
+
+@pytest.mark.parametrize("data", [pkcs1(), SEC1, openssh()], ids=["pkcs1", "sec1", "openssh"])
+@pytest.mark.parametrize("wrap", [*WRAPS, *CALLS])
+@pytest.mark.parametrize("armour", [True, False])
+def test_wrapped_keys_are_found_whole(data, wrap, armour):
+    one = base64.b64encode(data).decode()
+    lines = [one[i : i + 64] for i in range(0, len(one), 64)]
+    head, foot = "-----BEGIN X PRIVATE KEY-----", "-----END X PRIVATE KEY-----"
+    body = (WRAPS | CALLS)[wrap]([head, *lines, foot] if armour else lines)
+    text = f"Some words before:\n{body}\nand Words after"
+    found = [(a, b) for a, b, k in secret_scan.spans(text) if k == "key"]
+    first, last = (head, foot) if armour else (lines[0], lines[-1].replace("/", r"\/") if wrap == "json twice" else lines[-1])
+    assert found == [(text.index(first), text.index(last) + len(last))]
+    assert not any(x[:12] in secret_scan.redacted(text) for x in lines)
+    broken = "".join(lines)[:-8]
+    assert data == openssh() or not [k for *_, k in secret_scan.spans((WRAPS | CALLS)[wrap]([broken[i : i + 64] for i in range(0, len(broken), 64)])) if k == "key"]
+
+
+@pytest.mark.parametrize("data", [pkcs1(), SEC1, openssh()], ids=["pkcs1", "sec1", "openssh"])
+def test_hex_keys_are_found_in_any_case_and_wrap(data):
+    up, mixed = data.hex().upper(), "".join(c.upper() if i % 3 else c for i, c in enumerate(data.hex()))
+    pairs = [data.hex()[i : i + 2] for i in range(0, len(data) * 2, 2)]
+    for body in ("\n".join(up[i : i + 60] for i in range(0, len(up), 60)), mixed, ":".join(pairs), ":\n    ".join(":".join(pairs[i : i + 15]) for i in range(0, len(pairs), 15)), ", ".join("0x" + p for p in pairs), "".join(r"\x" + p for p in pairs)):
+        text = f"words {body} end"
+        a = text.index(body) + (2 if body[:2] in ("0x", r"\x") else 0)
+        assert [x[:2] for x in secret_scan.spans(text) if x[2] == "key"] == [(a, text.index(" end"))]
+
+
 def secret_brute(t):
     t, out = t or "", []
     for m in re.finditer(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t):
