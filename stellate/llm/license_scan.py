@@ -2,18 +2,20 @@
 
 Base: places where a phrase's words stand consecutively in a document's words.
 
-Method: a text block is a run of up to BLOCK words that starts at every STRIDE-th word, so
-any run of STRIDE + 1 words lies whole in some block. A block meets a template if it holds
-at least ``threshold`` of the template's distinct words. The words of templates are ordered
-by how many documents hold them, rarest first:
-
-* prefix filter: a block that misses at most |T| - need words of T holds one of the
-  |T| - need + 1 rarest, so blocks and templates are joined on those words alone;
-* length filter: a block needs at least `need` template words in all;
-* positional filter: a shared word at place i of T and place j of the block's ordered words
+Method: a text block is a run of up to BLOCK words, or twice a template's words if that is
+more; it may start at any word. A block meets a template if it holds at least ``threshold``
+of the template's distinct words. Texts are cut into stretches of two blocks that start at
+every block, so each block lies whole in the stretch in which it starts. The words of
+templates are ordered by how many documents hold them, rarest first:
+
+* prefix filter: a stretch that misses at most |T| - need words of T holds one of the
+  |T| - need + 1 rarest, so stretches and templates are joined on those words alone;
+* length filter: a stretch needs at least `need` template words in all;
+* positional filter: a shared word at place i of T and place j of the stretch's ordered words
   allows at most 1 + min(what follows either) common words, and none came before in the
   prefix if this is the first shared one;
-* candidates are verified by the size of the intersection.
+* candidates are verified by the size of the intersection with every block that starts at a
+  word of the template, as no other block holds more.
 
 Only the order of the template vocabulary (a constant number of rows) comes to the driver.
 
@@ -83,23 +85,29 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
     place = {w: i for i, w in enumerate(order)}
     sets = {name: sorted({place[w] for w in t.split()}) for name, t in templates.items()}
     need = {name: math.ceil(threshold * len(s) - 1e-9) for name, s in sets.items()}
-    prefix = [(p, name, i, len(s), need[name], s) for name, s in sets.items() for i, p in enumerate(s[: len(s) - need[name] + 1])]
-    probes = spark.createDataFrame(prefix, "p int, label string, i int, size int, need int, members array<int>")
+    span = {name: max(BLOCK, 2 * len(t.split())) for name, t in templates.items()}
+    most = max(span.values())
+    prefix = [(p, name, i, len(s), need[name], span[name], s, [order[p] for p in s]) for name, s in sets.items() for i, p in enumerate(s[: len(s) - need[name] + 1])]
+    probes = spark.createDataFrame(prefix, "p int, label string, i int, size int, need int, span int, members array<int>, told array<string>")
     places = F.create_map(*[F.lit(x) for w in order for x in (w, place[w])])
     rare = F.array(*[F.lit(order[p]) for p in sorted({x[0] for x in prefix})])
     words = docs.select(*row_name(key, text), words_of(normal(text)).alias("words")).filter(F.arrays_overlap("words", rare))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - F.lit(BLOCK - STRIDE + 1), F.lit(0)), F.lit(STRIDE))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(most))
     vocab = F.array(*map(F.lit, order))
     name = ["k", "t", "nb"]
-    blocks = words.select(*name, F.explode(F.transform(starts, lambda s: F.array_intersect(F.slice("words", s + 1, BLOCK), vocab))).alias("held"))
+    near = F.transform(starts, lambda s: F.slice("words", s + 1, 2 * most))
+    blocks = words.select(*name, F.explode(F.transform(near, lambda w: F.struct(w.alias("near"), F.array_intersect(w, vocab).alias("held")))).alias("s")).select(*name, "s.*")
     blocks = blocks.filter(F.size("held") >= min(need.values())).filter(F.arrays_overlap("held", rare))
-    blocks = blocks.select(*name, F.array_sort(F.transform("held", lambda w: F.element_at(places, w))).alias("b"))
-    tokens = blocks.select(*name, "b", F.posexplode("b").alias("j", "p"))
-    common = F.size(F.array_intersect("b", "members"))
+    blocks = blocks.select(*name, "near", F.array_sort(F.transform("held", lambda w: F.element_at(places, w))).alias("b"))
+    tokens = blocks.select(*name, "near", "b", F.posexplode("b").alias("j", "p"))
+    shared = F.array_intersect("members", "b")
     pairs = tokens.join(F.broadcast(probes), "p")  # one row for each prefix word: a constant
     pairs = pairs.filter((F.size("b") >= F.col("need")) & (1 + F.col("i") + F.least(F.col("size") - F.col("i") - 1, F.size("b") - F.col("j") - 1) >= F.col("need")))
-    pairs = pairs.filter(common >= F.col("need"))
-    return pairs.groupBy(*name, "label").agg(F.max(common / F.col("size")).alias("containment"))
+    pairs = pairs.filter((F.size(shared) >= F.col("need")) & (shared[0] == F.col("p")))
+    begins = F.filter(F.transform(F.slice("near", 1, most), lambda w, i: F.when(F.array_contains("told", w), i + 1)), lambda i: i.isNotNull())
+    common = F.array_max(F.transform(begins, lambda i: F.size(F.array_intersect("told", F.slice("near", i, F.col("span"))))))
+    pairs = pairs.withColumn("common", common).filter(F.col("common") >= F.col("need"))
+    return pairs.groupBy(*name, "label").agg(F.max(F.col("common") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -38,6 +38,33 @@ def test_licenses_against_brute_force(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
+def license_every_start(t, templates):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+    out = set()
+    for lab, tt in templates.items():
+        want, n = set(tt.split()), max(64, 2 * len(tt.split()))
+        out |= {lab for s in range(len(words)) if len(want & set(words[s : s + n])) >= 0.9 * len(want) - 1e-9}
+    return ",".join(sorted(out))
+
+
+def test_licenses_at_every_start(spark):
+    r = random.Random(8)
+    long = " ".join(f"w{i}" for i in range(150))
+    templates = license_scan.TEMPLATES | {"long": long}
+    texts = []
+    for i, t in enumerate([*templates.values()] * 12):
+        words, gap = t.split(), r.choice([0.0, 0.4, 0.9, 1.3])
+        spread = " ".join(f"{w} " + "zz " * int(r.random() + gap) for w in words)
+        texts.append("zz " * r.randint(0, 140) + spread + " zz" * r.randint(0, 90))
+    bsd = license_scan.TEMPLATES["bsd"].split()
+    texts.append("zz " * 10 + " ".join(w + " zz zz" if i < 19 else w for i, w in enumerate(bsd)))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = license_scan.matches(df, templates=templates).groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("l")).collect()
+    got = {int(x["k"]): x["l"] for x in got}
+    assert got == {i: w for i, t in enumerate(texts) if (w := license_every_start(t, templates))}
+    assert any("long" in x for x in got.values()) and got[len(texts) - 1] == "bsd"
+
+
 # ---- secrets ----
 
 def jwt():
