@@ -15,7 +15,7 @@ task holds one block of each. Block sizes are fixed, block numbers follow the in
 
 Defined cases: vectors that are null, zero, of another length than most (the first found, by
 smallest id), or hold null or non-finite components take no part; ties go to the smaller id;
-repeated ids are rows of their own, and a query never returns a row of its own id; with fewer
+repeated ids are rows of their own, each with its own k results as a query, and a query never returns a row of its own id; with fewer
 candidates than k all are returned; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -76,7 +76,7 @@ class Tree:
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, top: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, scores): up to k of one block for each query."""
+    """(places of queries, candidate ids, scores): up to k of one block for each query."""
     d = x.shape[1]
     matrix = np.random.default_rng(SEED).standard_normal((d + 1, PROJECTED))
     rest = np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))
@@ -111,7 +111,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
             else:
                 keep = np.lexsort((best_i, -best_s))
                 best_s, best_i = best_s[keep], best_i[keep]
-        out.append((np.full(len(best_i), qids[i]), best_i, best_s))
+        out.append((np.full(len(best_i), i), best_i, best_s))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -130,20 +130,24 @@ def nearest(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", vecto
     n_blocks, q_blocks, top = -(-said["n"] // block), -(-said["q"] // query_block), said["top"]
     v = v.filter(F.size("v") == said["d"])
     mix = F.xxhash64("id", F.lit(SEED))
-    both = lambda rows, own, others, n_other, query: rows.select(F.pmod(mix, F.lit(own[1])).cast("int").alias(own[0]), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(others), "id", "v")
-    cand = both(v, ("c", n_blocks), "q", q_blocks, False).select("c", "q", "id", "v")
-    asks = both(v.filter(is_query(F.col("id"))), ("q", q_blocks), "c", n_blocks, True).select("c", "q", "id", "v")
+    both = lambda rows, own, others, n_other, *more: rows.select(F.pmod(mix, F.lit(own[1])).cast("int").alias(own[0]), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(others), "id", "v", *more)
+    # equal rows are searched once; others of one id are told apart by a number
+    once = v.filter(is_query(F.col("id"))).groupBy("id", "v").agg(F.count("*").alias("copies"))
+    once = once.withColumn("row", F.row_number().over(Window.partitionBy("id").orderBy("v")))
+    cand = both(v, ("c", n_blocks), "q", q_blocks).select("c", "q", "id", "v")
+    asks = both(once, ("q", q_blocks), "c", n_blocks, "row", "copies").select("c", "q", "id", "v", "row", "copies")
 
     def run(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        left, right = left.sort_values("id", kind="stable"), right.sort_values("id", kind="stable")
-        qi, ci, s = search_block(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), top, k)
-        return pd.DataFrame({"query_id": qi, "vec_id": ci, "score": s})
-
-    found = cand.groupBy("c", "q").cogroup(asks.groupBy("c", "q")).applyInPandas(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "row": np.empty(0, np.int32), "copies": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        left, right = left.sort_values("id", kind="stable"), right.sort_values(["id", "row"], kind="stable")
+        at, ci, s = search_block(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), top, k)
+        return pd.DataFrame({"query_id": right["id"].to_numpy()[at], "row": right["row"].to_numpy()[at], "copies": right["copies"].to_numpy()[at], "vec_id": ci, "score": s})
+
+    found = cand.groupBy("c", "q").cogroup(asks.groupBy("c", "q")).applyInPandas(run, "query_id long, row int, copies long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

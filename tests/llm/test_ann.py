@@ -37,5 +37,18 @@ def test_odd_vectors_take_no_part(spark):
     assert ann.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [16384, 8])
+def test_repeated_queries_each_get_their_own(spark, block):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((30, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist()), (20, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.nearest(df, lambda i: i == 20, 10, block=block, query_block=2).collect())
+    want = []
+    for q in (x[20], x[20], x[3]):
+        want += list(enumerate([int(j) for j in np.argsort(-(x @ q)) if j != 20][:10], 1))
+    assert got == sorted(want)
+
+
 def test_the_stopping_point():
     assert ann.chi_square_point(0.95, 8) == pytest.approx(15.507, abs=1e-3)
