@@ -369,6 +369,12 @@ def _(spark, sf):
     return t.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).count().filter("count = 1").select("a", "b")
 
 
+@query("boundary_edges_whole", "WITH t AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey <> l_partkey) SELECT least(a, b)::BIGINT AS a, greatest(a, b)::BIGINT AS b FROM t GROUP BY ALL HAVING count(*) = 1")
+def _(spark, sf):
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").cast("long").alias("p"), F.col("l_partkey").cast("long").alias("q")).filter("p <> q")
+    return t.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).count().filter("count = 1").select("a", "b")
+
+
 # ---- labelling ---------------------------------------------------------------
 
 _DB = labels_sql(EV, near_sql(EV, 0.1), 4, 5)

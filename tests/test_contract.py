@@ -26,3 +26,24 @@ def test_against_sql(spark, name):
     got = registry.QUERIES[name](spark, SF)
     want = c.execute(registry.ORACLE[name]).to_arrow_table().select(got.columns).to_pylist()
     assert sorted(map(str, (r.asDict() for r in got.collect()))) == sorted(map(str, want))
+
+
+def matches_sql(spark, name, sf):
+    import duckdb
+
+    from stellate.plans import registry
+
+    c = duckdb.connect()
+    for t in ("events", "embeddings", "orders", "lineitem"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, sf)
+    want = c.execute(registry.ORACLE[name]).to_arrow_table().select(got.columns).to_pylist()
+    rows = [r.asDict() for r in got.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, want))
+    return rows
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
+def test_whole_boundary_edges_grow_with_the_table(spark):
+    small, large = (len(matches_sql(spark, "boundary_edges_whole", sf)) for sf in (SF, SF.replace("0.001", "0.01")))
+    assert large > 8 * small
