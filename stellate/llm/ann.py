@@ -13,8 +13,8 @@ k x blocks rows.
 Queries are a stated set: they meet every block of candidates, in blocks of their own, so a
 task holds one block of each. Block sizes are fixed, block numbers follow the input.
 
-Defined cases: vectors that are null, zero, of another length than most (the first found, by
-smallest id), or hold null or non-finite components take no part; ties go to the smaller id;
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no
+part; vectors of each length are searched on their own; ties go to the smaller id;
 repeated ids are rows of their own, each with its own k results as a query, and a query never returns a row of its own id; with fewer
 candidates than k all are returned; an empty table gives an empty result; other columns are
 ignored.
@@ -123,28 +123,26 @@ def nearest(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", vecto
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     v = v.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda e: e != 0))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
-    said = v.agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.min_by(F.size("v"), "id").alias("d"), F.sum(is_query(F.col("id")).cast("long")).alias("q")).first()
-    empty = v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not said["n"] or not said["q"]:
-        return empty
-    n_blocks, q_blocks, top = -(-said["n"] // block), -(-said["q"] // query_block), said["top"]
-    v = v.filter(F.size("v") == said["d"])
+    v = v.withColumn("d", F.size("v"))
+    # one row for each length of vectors
+    sizes = v.groupBy("d").agg(F.ceil(F.count("*") / block).cast("int").alias("c_blocks"), F.max(norm).alias("top"), F.ceil(F.sum(is_query(F.col("id")).cast("long")) / query_block).cast("int").alias("q_blocks"))
+    sizes = sizes.filter("q_blocks > 0")
     mix = F.xxhash64("id", F.lit(SEED))
-    both = lambda rows, own, others, n_other, *more: rows.select(F.pmod(mix, F.lit(own[1])).cast("int").alias(own[0]), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(others), "id", "v", *more)
+    both = lambda rows, own, others, *more: rows.join(F.broadcast(sizes), "d").select(F.col("d").alias("d"), F.pmod(mix, F.col(f"{own}_blocks")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(f"{others}_blocks") - 1)).alias(others), F.col("id").alias("id"), F.col("v").alias("v"), *more)
     # equal rows are searched once; others of one id are told apart by a number
-    once = v.filter(is_query(F.col("id"))).groupBy("id", "v").agg(F.count("*").alias("copies"))
+    once = v.filter(is_query(F.col("id"))).groupBy("d", "id", "v").agg(F.count("*").alias("copies"))
     once = once.withColumn("row", F.row_number().over(Window.partitionBy("id").orderBy("v")))
-    cand = both(v, ("c", n_blocks), "q", q_blocks).select("c", "q", "id", "v")
-    asks = both(once, ("q", q_blocks), "c", n_blocks, "row", "copies").select("c", "q", "id", "v", "row", "copies")
+    cand = both(v, "c", "q", "top").select("d", "c", "q", "id", "v", "top")
+    asks = both(once, "q", "c", "row", "copies").select("d", "c", "q", "id", "v", "row", "copies")
 
     def run(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "row": np.empty(0, np.int32), "copies": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         left, right = left.sort_values("id", kind="stable"), right.sort_values(["id", "row"], kind="stable")
-        at, ci, s = search_block(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), top, k)
+        at, ci, s = search_block(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), float(left["top"].iloc[0]), k)
         return pd.DataFrame({"query_id": right["id"].to_numpy()[at], "row": right["row"].to_numpy()[at], "copies": right["copies"].to_numpy()[at], "vec_id": ci, "score": s})
 
-    found = cand.groupBy("c", "q").cogroup(asks.groupBy("c", "q")).applyInPandas(run, "query_id long, row int, copies long, vec_id long, score double")
+    found = cand.groupBy("d", "c", "q").cogroup(asks.groupBy("d", "c", "q")).applyInPandas(run, "query_id long, row int, copies long, vec_id long, score double")
     order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("query_id", "rank", "vec_id", "score")

@@ -50,5 +50,12 @@ def test_repeated_queries_each_get_their_own(spark, block):
     assert got == sorted(want)
 
 
+def test_one_short_vector_first_leaves_the_rest(spark):
+    rows = [(0, [1.0]), (3, [2.0]), (20, [1.0, 0.0]), (21, [3.0, 0.0]), (22, [0.5, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df, lambda i: i % 20 == 0, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 3, 2.0), (20, 1, 21, 3.0), (20, 2, 22, 0.5)]
+
+
 def test_the_stopping_point():
     assert ann.chi_square_point(0.95, 8) == pytest.approx(15.507, abs=1e-3)
