@@ -160,6 +160,14 @@ def _(spark, sf):
     return t.filter("x0 is not null and x1 is not null and x2 is not null").select("emitter_idx", F.round(r, 4).alias("r"))
 
 
+@query("circumradius_every", f"SELECT dataset, emitter_idx, round(CASE WHEN abs(2 * ((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0))) < 1e-30 THEN NULL ELSE sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) * sqrt(pow(x2 - x0, 2) + pow(y2 - y0, 2)) * sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / (2 * abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0))) END, 4) AS r FROM (SELECT dataset, emitter_idx, x AS x0, y AS y0, lead(x, 1) OVER w AS x1, lead(y, 1) OVER w AS y1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2 FROM ({EM}) WINDOW w AS (PARTITION BY dataset ORDER BY emitter_idx)) WHERE x2 IS NOT NULL")
+def _(spark, sf):
+    w = Window.partitionBy("dataset").orderBy("emitter_idx")
+    t = embeddings_cloud(spark, sf).points.select("dataset", "emitter_idx", *[F.lead(c, i).over(w).alias(f"{c}{i}") for i in range(3) for c in "xy"])
+    r = G.circumradius(*[F.col(f"{c}{i}") for i in range(3) for c in "xy"])
+    return t.filter("x2 is not null").select("dataset", "emitter_idx", F.round(r, 4).alias("r"))
+
+
 # ---- joins -------------------------------------------------------------------
 
 @query("range_join", f"SELECT dataset, src, dst, round(d, 6) AS d FROM ({near_sql(EV, 0.1)})")
