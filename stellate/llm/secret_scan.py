@@ -29,7 +29,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import per_text, table
+from .tables import batches_of, per_text, table
 
 KINDS = ("assign", "access", "hex", "key", "jwt")
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -297,13 +297,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with secrets replaced in `text`."""
     import pyarrow as pa
 
-    from .tables import small_batches
-
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in batches_of(batches):
             cols = list(b.columns)
             cols[at] = pa.array([None if t is None else redacted(t) for t in cols[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(f.name, pa.string()) if i == at else f for i, f in enumerate(b.schema)]))

@@ -11,23 +11,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Long texts: keep Arrow batches to Python workers at few rows, so their memory stays bounded."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now == 10000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def batches_of(batches, rows: int = 256):
+    """Arrow batches of few rows, so that texts become Python objects a few at a time. Spark bounds its own batches in bytes."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df doesn't have (in any case), one for each stem."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name, i = stem, 0
+        while name.lower() in held:
+            name, i = f"{stem}_{i}", i + 1
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def per_text(df: DataFrame, keep: list[str], schema: str, make, text: str = "text", together: bool = False) -> DataFrame:
     """One output row per input row: the columns of `keep` as they are, then what make()(text) returns.
 
     make is called once in each Python worker task; it returns the function from a text (null
-    as "") to a tuple that fits `schema`, or with `together` from a list of texts to a list of tuples. Batches stay small, so memory is bounded by a batch.
+    as "") to a tuple that fits `schema`, or with `together` from a list of texts to a list of tuples. Batches stay small, so memory is bounded by one.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    small_batches(df.sparkSession)
     added = T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(schema)
     narrow = df.select(*keep, text)
     out = T.StructType([*narrow.select(*keep).schema.fields, *added.fields])
@@ -37,7 +49,7 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make, text: str = "tex
 
         kinds = [to_arrow_type(f.dataType) for f in added.fields]
         fn = make()
-        for b in batches:
+        for b in batches_of(batches):
             texts = [t or "" for t in b.column(len(keep)).to_pylist()]
             rows = fn(texts) if together else [fn(t) for t in texts]
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
@@ -47,7 +59,7 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make, text: str = "tex
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished jobs, which it does when the driver's garbage is collected."""
+    """Let Spark drop shuffle files of finished jobs: it does so when the plans that made them are collected on the driver, which is else left to chance."""
     import gc
 
     gc.collect()
