@@ -6,18 +6,25 @@ runs by most significant digit, over all documents at once, and a suffix leaves
 group holds nothing else. Digits are taken in an order that the window's own bytes fix, so that
 equal windows have equal digits:
 
-1. The first digit is the window's anchor: of its KMER-byte strings the one of least hash
-   (the leftmost of equals), with its place in the window. Neighbouring windows share an
-   anchor, so a run of suffixes is one narrow row, about one for each 85 bytes.
+1. The first digit is the window's anchor: of its strings of up to KMER bytes the one of least
+   hash (the leftmost of equals), with its place in the window. Neighbouring windows share an
+   anchor, so a run of suffixes is one narrow row, about one for each 85 bytes. Runs whose
+   anchor stands nowhere else leave here.
 2. The second digit is the text of a whole run. Runs that hold the same text are equal groups
    for every one of their windows at once; copies meet here and go no further, counted by
    partial aggregates.
-3. Runs that share an anchor but differ somewhere (one for each text) are sorted through the
-   remaining bytes of each window.
+3. Runs that share an anchor but differ somewhere (one for each text) are dealt to tasks by
+   anchor. Their suffixes start in groups of one anchor at one place, and are refined from the
+   first byte on by passes over digits of eight bytes; a suffix alone in its group leaves after
+   each pass, a group whose digits are all equal isn't sorted, and what is left at the
+   threshold is equal byte by byte.
 
-Digits are compared as 64-bit hashes of the bytes. Texts equal as a whole are one document to
-the sort, and are known to repeat. Groups of more than HOT runs in step 3 aren't held by a
-task; their windows go to an exchange one by one.
+An anchor that more than HOT windows share isn't dealt to one task: its windows, one row for
+each, are counted by a 128-bit hash of their bytes with partial aggregates. Anchors and runs are
+compared by 64-bit hashes each, so runs are told apart by 128 bits.
+
+Thresholds from 1 to MOST bytes; others raise ValueError. The time grows with the windows of
+differing runs, up to threshold bytes read for each.
 
 Defined cases: null and empty texts have no bytes; texts under the threshold lose nothing;
 matches never cross documents, but may lie within one and may overlap; strings are judged on
@@ -28,15 +35,17 @@ other columns are ignored, clashing names or not.
 
 from __future__ import annotations
 
-import hashlib
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import drop_written, release, small_batches, table, written
+from .tables import batches_of, drop_written, fresh, release, table, written
 
-THRESHOLD, KMER, HOT = 200, 32, 20_000
+THRESHOLD, KMER, HOT, MOST = 200, 32, 400_000, 1 << 15
+#: Windows sorted at a time, if groups are smaller.
+AT_ONCE = 100_000
 #: Bytes hashed at a time; a longer text is cut into overlapping segments.
 SEGMENT = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
@@ -89,8 +98,9 @@ def runs(hasher: Hasher, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     if n < threshold:
         return none
     sums = hasher.sums(data)
-    at = hasher.all(sums, KMER)
-    least = _sliding_least((at & ~_PLACE) | np.arange(len(at), dtype=np.uint64), threshold - KMER + 1)
+    kmer = min(KMER, (threshold + 1) // 2)
+    at = hasher.all(sums, kmer)
+    least = _sliding_least((at & ~_PLACE) | np.arange(len(at), dtype=np.uint64), threshold - kmer + 1)
     anchor = (least & _PLACE).astype(np.int64)
     step = np.zeros(n + 1, np.int64)  # windows that lie in one text
     whole = ends - starts >= threshold
@@ -144,27 +154,54 @@ def all_runs(texts: list[bytes], hasher: Hasher, threshold: int = THRESHOLD, seg
     return {k: np.concatenate([r[k] for r in out]) if out else np.empty(0, np.int64) for k in ("text", "first", "many", "anchor", "h", "f")}
 
 
-def windows(parts: list[bytes], hasher: Hasher, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, part, place) of every window of every part."""
+def windows(parts: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all parts, part, place, start in the bytes) of every window of every part."""
     data, starts, ends = _laid(parts)
     many = ends - starts - threshold + 1
     which = np.repeat(np.arange(len(parts)), many)
     place = np.arange(len(which)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-    s = starts[which] + place
-    return hasher.of(hasher.sums(data), s, s + threshold), which, place
+    return data, which, place, starts[which] + place
+
+
+def equal_at(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the suffixes that share their group and their first `depth` bytes with another one, sorted by passes from the most significant digit."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    digits = np.ndarray((len(data),), ">u8", padded, 0, (1,))  # eight bytes from each place on
+    live = np.argsort(group, kind="stable")
+    g = group[live]
+    new = np.r_[True, g[1:] != g[:-1]] if len(g) else np.empty(0, bool)
+    for at in range(-8, depth, 8):
+        if at >= 0 and len(live):
+            d = digits[start[live] + at].astype(np.uint64)
+            if depth - at < 8:
+                d >>= np.uint64(8 * (8 - depth + at))
+            differ = np.flatnonzero((d[1:] != d[:-1]) & ~new[1:]) + 1
+            if not len(differ):
+                continue
+            g = np.cumsum(new) - 1
+            mixed = np.zeros(g[-1] + 1, bool)
+            mixed[g[differ]] = True
+            some = np.flatnonzero(mixed[g])
+            order = some[np.lexsort((d[some], g[some]))]
+            live[some], d[some] = live[order], d[order]
+            new[1:] |= d[1:] != d[:-1]
+        keep = ~(new & np.r_[new[1:], True])
+        live, new = live[keep], new[keep]
+    return live
 
 
 def repeated(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (t, nb, spans): for each text (hash and bytes) with repeated windows, what they cover as [start, end) pairs, unmerged."""
     import pyarrow as pa
 
+    if not 1 <= threshold <= MOST:
+        raise ValueError(f"threshold must be 1 to {MOST} bytes; got {threshold}")
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("body"), *_name(text)).filter(F.col("nb") >= threshold)
 
     def first_digits(batches):
         hasher = Hasher(SEGMENT + 2 * threshold)
-        for b in batches:
+        for b in batches_of(batches):
             r = all_runs([x.encode() for x in b.column(2).to_pylist()], hasher, threshold, SEGMENT)
             t, nb = (b.column(i).to_numpy(zero_copy_only=False)[r["text"]] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(nb), *(pa.array(r[c].astype(np.int32)) for c in ("first", "many", "anchor")), pa.array(r["h"]), pa.array(r["f"])], names=["t", "nb", "first", "many", "anchor", "h", "f"])
@@ -176,120 +213,110 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", t
     drop_written(shared)
     release(spark)
     # one run for each (anchor, text of the run); least values of one row go together
-    once = met.groupBy("h", "f").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.min_by("nb", "t").alias("nb"), F.min_by(F.col("first").cast("long") * 65536 + F.col("many") * 256 + F.col("anchor"), "t").alias("w"))
+    base = threshold + 1
+    packed = (F.col("first").cast("long") * base + F.col("many")) * base + F.col("anchor")
+    once = met.groupBy("h", "f").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.min_by("nb", "t").alias("nb"), F.min_by(packed, "t").alias("w"))
     once = written(once, "digits")
-    over = once.groupBy("h").agg(F.min("f").alias("a"), F.max("f").alias("b")).filter("a <> b").select("h")
+    several = once.groupBy("h").agg(F.min("f").alias("a"), F.max("f").alias("b"), F.sum(F.expr(f"w div {base} % {base}")).alias("many")).filter("a <> b")
+    several = written(several.select("h", (F.col("many") > HOT).alias("hot")), "several")
     equal = met.join(once.filter("n > 1").select("h", "f"), ["h", "f"], "left_semi")
     whole = written(equal.select("t", "nb", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("many") - 1 + threshold).cast("long").alias("end")).distinct(), "whole")
     drop_written(met)
     names = rows.groupBy("t", "nb").agg(F.min("k").alias("k"))
-    left = once.join(over, "h", "left_semi").groupBy("t", "nb").agg(F.collect_list(F.struct("h", "w")).alias("ws"))
-    left = left.join(names, ["t", "nb"])
-    held = rows.join(left.withColumnRenamed("k", "k2"), ["t", "nb"]).filter(F.col("k").eqNullSafe(F.col("k2"))).select("t", "nb", "ws", "body")
 
-    def contexts(batches):
-        for b in batches:
-            t, nb, ws, bodies = (c.to_pylist() for c in b.columns)
-            out: dict[str, list] = {c: [] for c in ("h", "t", "nb", "first", "anchor", "part")}
-            for i, body in enumerate(bodies):
+    def held(hot: bool) -> DataFrame:
+        """Rows (t, nb, ws, body): one text for each, and its differing runs."""
+        left = once.join(several.filter("hot" if hot else "not hot").select("h"), "h", "left_semi").groupBy("t", "nb").agg(F.collect_list(F.struct("h", "w")).alias("ws"))
+        left = left.join(names, ["t", "nb"])
+        return rows.join(left.withColumnRenamed("k", "k2"), ["t", "nb"]).filter(F.col("k").eqNullSafe(F.col("k2"))).select("t", "nb", "ws", "body")
+
+    def parts_of(batches):
+        """(h, t, nb, first, anchor, bytes) of every run."""
+        for b in batches_of(batches):
+            for t, nb, ws, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = body.encode()
-                for x in ws[i]:
-                    first, many = x["w"] >> 16, x["w"] >> 8 & 255
-                    for c, v in zip(out, (x["h"], t[i], nb[i], first, x["w"] & 255, data[first : first + many - 1 + threshold]), strict=True):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in ("h", "t", "nb", "first", "anchor")] + [("part", pa.binary())]))
+                for x in ws:
+                    w, anchor = divmod(x["w"], base)
+                    first, many = divmod(w, base)
+                    yield x["h"], t, nb, first, anchor, data[first : first + many - 1 + threshold]
 
-    parts = held.mapInArrow(contexts, "h long, t long, nb long, first long, anchor long, part binary")
+    def contexts(batches):
+        kinds = [pa.int64()] * 5 + [pa.binary()]
+        for some in _by(parts_of(batches), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=["h", "t", "nb", "first", "anchor", "part"])
 
     def last_digits(batches):
-        hasher = Hasher(1 << 20)
-        names = ["t", "nb", "start", "end", "window"]
-
-        def told(block, alone):
-            """Covered places of whole groups; every window, to be joined elsewhere, of a part of one group."""
-            for a in range(0, len(block["part"]), 3000) if alone else [0]:
-                cut = {c: v[a : a + 3000] if alone else v for c, v in block.items()}
-                hs, which, place = _windows_of(cut["part"], hasher, threshold)
-                anchor = np.array(cut["anchor"], np.int64)[which] - place
-                full = _mixed(hs ^ _mixed(np.array(cut["h"], np.int64).view(np.uint64)[which] + anchor.astype(np.uint64)))
-                if alone:
-                    keep = np.ones(len(full), bool)
-                else:
-                    order = np.argsort(full, kind="stable")
-                    same = full[order[1:]] == full[order[:-1]]
-                    keep = np.zeros(len(full), bool)
-                    keep[order[1:][same]] = True
-                    keep[order[:-1][same]] = True
-                s = np.flatnonzero(keep)
-                if not len(s):
-                    continue
+        def told(block):
+            """Covered places of whole groups."""
+            h, t, nb, first, anchor = (np.array(c, np.int64) for c in block[:5])
+            data, which, place, start = windows(block[5], threshold)
+            _, h = np.unique(h, return_inverse=True)
+            s = np.sort(equal_at(data, start, h[which] * base + anchor[which] - place, threshold))
+            if len(s):
                 w, p = which[s], place[s]
-                if alone:
-                    begin = np.arange(len(s))
-                    last = begin
-                else:  # neighbouring windows as one
-                    new = np.r_[True, (w[1:] != w[:-1]) | (p[1:] != p[:-1] + 1)]
-                    begin = np.flatnonzero(new)
-                    last = np.r_[begin[1:], len(s)] - 1
-                of = lambda c: np.array(cut[c], np.int64)[w[begin]]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(of("t")), pa.array(of("nb")), pa.array(of("first") + p[begin]), pa.array(of("first") + p[last] + threshold), pa.array(full[s[begin]].view(np.int64) if alone else [None] * len(begin), pa.int64())], names=names)
-
-        block: dict[str, list] = {c: [] for c in ("h", "t", "nb", "first", "anchor", "part")}
-        alone = None  # the anchor of a group too large to hold
-        for b in batches:
-            new = {c: b.column(i).to_pylist() for i, c in enumerate(block)}
-            for c in block:
-                block[c] += new[c]
-            while block["h"]:
-                hs = block["h"]
-                if alone is not None:
-                    n = next((i for i, h in enumerate(hs) if h != alone), len(hs))
-                    if n:
-                        yield from told({c: v[:n] for c, v in block.items()}, True)
-                    block = {c: v[n:] for c, v in block.items()}
-                    if block["h"]:
-                        alone = None
-                    continue
+                begin = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (p[1:] != p[:-1] + 1)])  # neighbouring windows as one
+                last = np.r_[begin[1:], len(s)] - 1
+                w = w[begin]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t[w], nb[w], first[w] + p[begin], first[w] + p[last] + threshold)], names=["t", "nb", "start", "end"])
+
+        block: list[list] = [[] for _ in range(6)]
+        held, tried = 0, 0
+        for b in batches_of(batches, 1000):
+            for c, new in zip(block, b.columns, strict=True):
+                c += new.to_pylist()
+            held += int(np.sum([len(x) - threshold + 1 for x in block[5][-b.num_rows :]]))
+            if held >= max(AT_ONCE, 2 * tried):
+                hs = block[0]
                 n = len(hs)
-                while n and hs[n - 1] == hs[-1]:
+                while n and hs[n - 1] == hs[-1]:  # the last group may go on
                     n -= 1
-                if n >= 1000:
-                    yield from told({c: v[:n] for c, v in block.items()}, False)
-                    block = {c: v[n:] for c, v in block.items()}
-                elif len(hs) - n > HOT:
-                    if n:
-                        yield from told({c: v[:n] for c, v in block.items()}, False)
-                    block = {c: v[n:] for c, v in block.items()}
-                    alone = block["h"][0]
-                    continue
-                break
-        if block["h"]:
-            yield from told(block, False)
+                if n:
+                    yield from told([c[:n] for c in block])
+                    block = [c[n:] for c in block]
+                    held = sum(len(x) - threshold + 1 for x in block[5])
+                tried = held
+        if block[0]:
+            yield from told(block)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    spans = written(parts.repartition(n, "h").sortWithinPartitions("h").mapInArrow(last_digits, "t long, nb long, start long, end long, window long"), "spans")
+    parts = held(False).mapInArrow(contexts, "h long, t long, nb long, first long, anchor long, part binary")
+    found = written(parts.repartition(n, "h").sortWithinPartitions("h").mapInArrow(last_digits, "t long, nb long, start long, end long"), "spans")
+    if several.filter("hot").limit(1).count():
+
+        def singly(batches):
+            from xxhash import xxh3_128_digest
+
+            def each():
+                for _, t, nb, first, _, part in parts_of(batches):
+                    for i in range(len(part) - threshold + 1):
+                        yield t, nb, first + i, first + i + threshold, xxh3_128_digest(part[i : i + threshold])
+
+            for some in _by(each(), 10_000):
+                *numbers, window = zip(*some, strict=True)
+                pair = np.frombuffer(b"".join(window), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), *(pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1))], names=["t", "nb", "start", "end", "x", "y"])
+
+        lone = written(held(True).mapInArrow(singly, "t long, nb long, start long, end long, x long, y long"), "windows")
+        both = lone.groupBy("x", "y").count().filter("count > 1").select("x", "y")
+        found = found.unionByName(lone.join(both, ["x", "y"], "left_semi").select("t", "nb", "start", "end"))
     drop_written(once)
     release(spark)
-    found = spans.filter("window is null").select("t", "nb", "start", "end")
-    lone = spans.filter("window is not null")
-    both = lone.groupBy("window").count().filter("count > 1").select("window")
-    found = found.unionByName(lone.join(both, "window", "left_semi").select("t", "nb", "start", "end"))
     return whole.unionByName(found).distinct().groupBy("t", "nb").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def _by(items, n: int):
+    """Lists of up to n items."""
+    items = iter(items)
+    while some := list(islice(items, n)):
+        yield some
+
+
 def _name(text: str) -> list:
     """The columns that stand for a text: a hash and its bytes."""
     body = F.coalesce(F.col(text), F.lit(""))
     return [F.xxhash64(body).alias("t"), F.octet_length(body).cast("long").alias("nb")]
 
 
-def _windows_of(parts: list[bytes], hasher: Hasher, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """windows(), a bounded number of parts at a time."""
-    step = max(1, hasher.most // 512)
-    got = [windows(parts[a : a + step], hasher, threshold) for a in range(0, len(parts), step)]
-    return tuple(np.concatenate([g[i] + (a * step if i == 1 else 0) for a, g in enumerate(got)]) for i in range(3))
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -308,12 +335,17 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def _with_spans(docs: DataFrame, threshold: int, key: str, text: str) -> DataFrame:
-    """docs with columns __t, __nb, __spans."""
+def _with_spans(docs: DataFrame, threshold: int, key: str, text: str) -> tuple[DataFrame, str]:
+    """docs with one more column, the spans to cut, and that column's name."""
     spans = repeated(docs, threshold, key, text)
-    named = docs.withColumns(dict(zip(("__t", "__nb"), _name(text), strict=True)))
-    s = spans.select(F.col("t").alias("__t"), F.col("nb").alias("__nb"), F.col("spans").alias("__spans"))
-    return named.join(s, ["__t", "__nb"], "left")
+    t, nb, cut = fresh(docs, "text_hash", "text_bytes", "cut_spans")
+    named = docs.withColumns(dict(zip((t, nb), _name(text), strict=True)))
+    s = spans.select(F.col("t").alias(t), F.col("nb").alias(nb), F.col("spans").alias(cut))
+    return named.join(s, [t, nb], "left").select(*_all(docs), F.col(cut)), cut
+
+
+def _all(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def remove(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,11 +353,11 @@ def remove(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", tex
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    x = _with_spans(docs.select(key, text), threshold, key, text).select(key, text, "__spans")
+    x, _ = _with_spans(docs.select(key, text), threshold, key, text)
     out = T.StructType([x.schema[0], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary")])
 
     def run(batches):
-        for b in batches:
+        for b in batches_of(batches):
             rows = []
             for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data, s = (t or "").encode(), merged([(x["start"], x["end"]) for x in s or []])
@@ -340,17 +372,16 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id
     """docs with repeated substrings cut from `text`; characters that a cut splits go whole."""
     import pyarrow as pa
 
-    x = _with_spans(docs, threshold, key, text).select(*docs.columns, "__spans")
-    at = docs.columns.index(text)
+    columns, at = docs.columns, docs.columns.index(text)
+    x, _ = _with_spans(docs, threshold, key, text)
 
     def run(batches):
-        for b in batches:
-            texts = [t if t is None or not s else without(t.encode(), merged([(x["start"], x["end"]) for x in s])).decode("utf-8", "ignore") for t, s in zip(b.column(at).to_pylist(), b.column(len(docs_columns)).to_pylist(), strict=True)]
-            cols = list(b.columns[: len(docs_columns)])
+        for b in batches_of(batches):
+            texts = [t if t is None or not s else without(t.encode(), merged([(x["start"], x["end"]) for x in s])).decode("utf-8", "ignore") for t, s in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist(), strict=True)]
+            cols = list(b.columns[: len(columns)])
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=docs_columns)
+            yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    docs_columns = docs.columns
     return x.mapInArrow(run, docs.schema)
 
 
