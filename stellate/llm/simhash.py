@@ -12,13 +12,14 @@ every link; candidates that meet in a key are verified.
 Documents of equal fingerprint are one node from the start, so copies cost nothing further.
 Within a key, small groups are compared and larger ones linked through the words between
 members (each member and its 64 one-bit changes), so work is linear in the group; what leaves
-a group is a star for each of its components, never its pairs. Groups over HOT members aren't
-held by a task: their members go to an exchange by the words between instead.
+a group is a star for each of its components, never its pairs. Keys are counted first, with
+partial aggregates; the members of one that more than HOT share aren't dealt to a task, but go
+to an exchange by the words between instead.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; equal texts
 have equal fingerprints; a null key is never the smallest of a component unless alone (then
-the component is null); an empty table gives an empty result; other columns are ignored.
-Texts are hashed whole.
+the component is null); an empty table gives an empty result; other columns are ignored,
+clashing names or not. Texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .tables import per_text, table, written
+from .tables import fresh, per_text, table, written
 
 SEED, WORDS, DISTANCE = 42, 3, 2
 #: The shared segment sizes; the last is padded to a 23-bit word with zeros.
@@ -163,17 +164,17 @@ def links(fps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f[row])], names=["key", "fp"])
 
     def found(batches):
-        key, held, n, hot = None, [], 0, False
-        out: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        key, held, n = None, [], 0
+        out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def done():
-            if n > 1 and not hot:
-                out.append((*_star(np.sort(np.concatenate(held))), False))
+            if n > 1:
+                out.append(_star(np.sort(np.concatenate(held))))
 
         def rows():
-            for a, b, h in out:
+            for a, b in out:
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), h))], names=["a", "b", "hot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
             out.clear()
 
         for batch in batches:
@@ -187,14 +188,9 @@ def links(fps: DataFrame) -> DataFrame:
                 s, e = starts[i], ends[i]
                 if k[s] != key:
                     done()
-                    key, held, n, hot = k[s], [], 0, False
+                    key, held, n = k[s], [], 0
                 n += e - s
                 held.append(f[s:e])
-                if hot or n > HOT:
-                    hot = True
-                    gone = np.concatenate(held)
-                    held = []
-                    out.append((gone, gone, True))
             yield from rows()
         done()
         yield from rows()
@@ -202,14 +198,18 @@ def links(fps: DataFrame) -> DataFrame:
     conf = fps.sparkSession.conf
     n = int(conf.get("spark.sql.shuffle.partitions", "200"))
     keys = fps.select("fp").mapInArrow(keyed, "key long, fp long")
-    met = written(keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(found, "a long, b long, hot boolean"), "links")
-    cold = met.filter("not hot").select("a", "b")
-    far = met.filter("hot").select("a").distinct()
+    hot = written(keys.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot")
+    any_hot = bool(hot.limit(1).count())
+    cold = (keys.join(hot, "key", "left_anti") if any_hot else keys).select("key", "fp")
+    met = written(cold.repartition(n, "key").sortWithinPartitions("key").mapInArrow(found, "a long, b long"), "links").distinct()
+    if not any_hot:
+        return met
+    far = keys.join(hot, "key", "left_semi").select(F.col("fp").alias("a")).distinct()
     masks = F.array(*[F.lit(int(x)).cast("long") if x < 1 << 63 else F.lit(-(1 << 63)).cast("long") for x in _FLIPS.tolist()])
     between = far.select("a", F.explode(masks).alias("m")).select("a", F.col("a").bitwiseXOR(F.col("m")).alias("y"))
     balls = between.groupBy("y").agg(F.collect_list("a").alias("held"))  # 65 members at most
     stars = balls.filter(F.size("held") > 1).select(F.array_min("held").alias("b"), F.explode("held").alias("a")).filter("a <> b").select("a", "b")
-    return cold.unionByName(stars).distinct()
+    return met.unionByName(stars).distinct()
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,21 +238,22 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     from pyspark.sql import Window
 
+    h, key_, h_, n = fresh(docs, "text_hash", "kept_key", "kept_hash", "copy")
     body = F.coalesce(F.col(text), F.lit(""))
-    named = docs.select(F.col(key), F.xxhash64(body).alias("__h"), body.alias("__body"))
+    named = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("h"), body.alias("body"))
 
     def make():
         return lambda t: (fingerprint(t),)
 
-    prints = written(per_text(named, [key, "__h"], "fp long", make, "__body"), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key), F.col("__h"))).alias("first")), "nodes")
+    prints = written(per_text(named, ["key", "h"], "fp long", make, "body"), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h")).alias("first")), "nodes")
     roots = components(links(nodes), "a", "b")
     of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{key}").alias("__key"), F.col("first.__h").alias("__kh"))
-    marked = docs.withColumn("__h", F.xxhash64(body))
-    found = marked.join(kept, (F.col("__h") == F.col("__kh")) & F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    only = Window.partitionBy("__h", key).orderBy("__h")
-    return found.withColumn("__n", F.row_number().over(only)).filter("__n = 1").select(*docs.columns)
+    kept = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key_), F.col("first.h").alias(h_))
+    marked = docs.withColumn(h, F.xxhash64(body))
+    found = marked.join(kept, (F.col(h) == F.col(h_)) & F.col(key).eqNullSafe(F.col(key_)), "left_semi")
+    only = Window.partitionBy(h, key).orderBy(h)
+    return found.withColumn(n, F.row_number().over(only)).filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
