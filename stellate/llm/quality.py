@@ -5,16 +5,19 @@ the pooled one and then towards a multiple of the identity; its Cholesky factor
 once. A document's log density difference (with the classes' log prior ratio) is half the
 difference of squared Mahalanobis lengths less the difference of log determinants. A shift,
 chosen on the training rows' histogram of differences for the best balanced accuracy, puts the
-decision at score CUT; scores are a logistic of the shifted difference, monotone in it.
+decision at score CUT; scores are a logistic of the shifted difference, monotone in it. The
+histogram's bins are even in the inverse hyperbolic sine of the difference, so they cover any
+difference, finer near zero.
 
 All sums run over all training rows in the cluster; the driver gets moments and a histogram
-of a constant number of bins.
+of some thousands of bins at most, as their number grows with the logarithm of the differences.
 
 Defined cases: null and empty texts have the statistics of an empty text and are scored; a
 document with several labels counts once, with their majority (ties: 1); null labels and null
 keys train nothing; equal texts have equal scores; with fewer than two classes of training
-rows every score is the share of label 1 (0.5 without any); an empty table gives an empty
-result; other columns are ignored.
+rows every score is the share of label 1 (0.5 without any), and ``accepted`` keeps all rows, as
+nothing tells them apart; an empty table gives an empty result; other columns are ignored,
+clashing names or not. ``accepted`` judges repeated rows alike and returns rows as they are.
 """
 
 from __future__ import annotations
@@ -25,11 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import per_text, table, written
+from .tables import batches_of, per_text, table, written
 
 FOLDS, CUT, TO_POOLED, TO_IDENTITY = 5, 0.3, 0.1, 0.02
-BINS, REACH = 2000, 50.0
-NAMES = ("punct", "upper", "digit", "mark", "beyond", "repeat", "variety", "length", "spread", "words", "lines", "odd")
+#: Bins of the histogram for each unit of asinh(difference).
+BINS = 200
+NAMES = ("punct", "upper", "digit", "mark", "beyond", "repeat", "variety", "length", "spread", "words", "lines")
 _UPPER, _DIGIT = slice(65, 91), slice(48, 58)
 _MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 #: Marks that prose uses.
@@ -50,7 +54,7 @@ def statistics(text: str) -> list[float]:
     return [
         share(marks, size), share(int(n[_UPPER].sum()), size), share(int(n[_DIGIT].sum()), size), share(marks - plain, size), share(int(n[128:].sum()), size),
         share(sum(map(eq, words, words[1:])), w), float(np.log((len(set(words)) + 1) / (w**0.8 + 1))), float(np.log1p(lengths.mean())), float(np.log1p(lengths.std())),
-        float(np.log1p(w)), share(len(lines) - len(set(lines)), max(len(lines), 1)), share(int(n[33] + n[124]), size),
+        float(np.log1p(w)), share(len(lines) - len(set(lines)), max(len(lines), 1)),
     ]
 
 
@@ -88,13 +92,15 @@ def fit(feats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
         low = np.linalg.cholesky(c)
         model["inverse"][y] = np.linalg.inv(low)
         model["log"][y] = float(np.log(rows[y]["n"] / total) - np.log(np.diag(low)).sum())
-    bins = difference(train.select("_y", "x"), model, ["_y"]).select("_y", F.floor((F.greatest(F.least("delta", F.lit(REACH)), F.lit(-REACH)) + REACH) / (2 * REACH) * BINS).alias("bin")).groupBy("_y", "bin").count().collect()
-    held = np.zeros((2, BINS + 1))
+    scaled = F.asinh("delta") * BINS
+    bins = difference(train.select("_y", "x"), model, ["_y"]).select("_y", F.floor(scaled).alias("bin")).groupBy("_y", "bin").count().collect()
+    low = min(r["bin"] for r in bins)
+    held = np.zeros((2, max(r["bin"] for r in bins) - low + 1))
     for r in bins:
-        held[r["_y"], r["bin"]] += r["count"]
+        held[r["_y"], r["bin"] - low] += r["count"]
     right = (held[1].sum() - np.r_[0, held[1].cumsum()]) / held[1].sum() + np.r_[0, held[0].cumsum()] / held[0].sum()
     best = np.flatnonzero(right == right.max())
-    model["shift"] = float((best[0] + best[-1]) / 2 / BINS * 2 * REACH - REACH)  # the middle of the best cuts
+    model["shift"] = float(np.sinh((low + (best[0] + best[-1]) / 2) / BINS))  # the middle of the best cuts
     return model
 
 
@@ -140,19 +146,16 @@ QUERIES = {"op9_quality": op9_quality}
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that the classifier doesn't reject; texts aren't shuffled."""
+    """The rows of docs, all columns, that the classifier doesn't reject; texts aren't shuffled. Without rows of both labels nothing is rejected."""
     import pyarrow as pa
 
-    from .tables import small_batches
-
     model = fit(written(features(docs, key, text), "features"), labels, key)
     if "share" in model:
-        return docs if model["share"] >= CUT else docs.limit(0)
-    small_batches(docs.sparkSession)
+        return docs
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in batches_of(batches):
             x = np.array([statistics(t or "") for t in b.column(at).to_pylist()], np.float64).reshape(-1, len(NAMES))
             yield b.filter(pa.array(_difference(x, model) >= model["shift"]))
 
