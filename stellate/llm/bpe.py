@@ -12,8 +12,10 @@ A new chunk's words that no chunk held before are encoded together, in one call
 of documents, and cut apart again: by token bytes for the byte-level tokenizer, by offsets
 for the other one. Chunks with unusual white space go to the tokenizer whole.
 
-Memories live as long as a worker and are bounded by entries; when full they are emptied,
-which costs time only.
+Memories live as long as a worker process, over all its tasks, and are bounded by entries: a full
+one becomes the old one, from which what is met again is taken over, so frequent chunks and words
+stay. A chunk that several workers meet is encoded in each; an exchange that brought every chunk
+to one place and its tokens back would move more than it saves (README).
 
 Defined cases: null and empty texts have no tokens; equal texts have equal tokens; repeated
 rows are encoded each; an empty table gives an empty result; other columns are ignored.
@@ -35,7 +37,7 @@ _LOOSE = re.compile(r" \s|\s |\s\Z|\A\s")
 _UNSURE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Letters alone, whose lower case is letters again, and ASCII marks after them: each is one piece to the word tokenizer.
 _CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@\[-`{-~]*)")
-WORDS, CHUNKS, CHUNK_BITS, TOGETHER = 500_000, 20_000, 9, 20_000
+WORDS, CHUNKS, CHUNK_BITS, TOGETHER = 250_000, 20_000, 9, 20_000
 
 
 def packed(ids: list[int]) -> bytes:
@@ -62,11 +64,35 @@ def kept(kind, path: str):
     return _KEPT[kind.__name__, path]
 
 
+class Kept(dict):
+    """A memory of two generations of up to `most` entries each."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def lacks(self, keys) -> list:
+        """The keys that aren't held; those that are will be in this generation."""
+        new, old = [], self.old
+        for k in keys:
+            if k not in self:
+                if k in old:
+                    self[k] = old[k]
+                else:
+                    new.append(k)
+        if len(self) + len(new) > self.most:
+            self.old = dict(self)
+            held = {k: self[k] for k in keys if k in self}
+            self.clear()
+            self.update(held)
+        return new
+
+
 class WordEncoder:
     """For a tokenizer that drops white space: ids (little-endian 32-bit) of whole texts, word by word."""
 
     def __init__(self, path: str):
-        self.tok, self.words, self.cores = load(path), {}, {}
+        self.tok, self.words, self.cores = load(path), Kept(WORDS), Kept(WORDS)
         self.marks: dict[str, bytes] = {}
         suffix = self.tok.model.end_of_word_suffix
         vocab = self.tok.get_vocab(with_added_tokens=True)
@@ -77,16 +103,12 @@ class WordEncoder:
         return packed(self.tok.encode(s, add_special_tokens=False).ids)
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-            self.cores.clear()
-            new = list(words)
+        new = self.words.lacks(words)
         parts, others = [], []
         for w in new:
             m = _CORE.fullmatch(w)
             parts.append((w, m[1].lower(), m[2])) if m else others.append(w)
-        self._learn_cores([c for c in dict.fromkeys(c for _, c, _ in parts) if c not in self.cores])
+        self._learn_cores(self.cores.lacks(dict.fromkeys(c for _, c, _ in parts)))
         for w, core, marks in parts:
             if marks and marks not in self.marks:
                 self.marks[marks] = self._whole(marks)
@@ -128,8 +150,7 @@ class ChunkEncoder:
     def __init__(self, path: str, bits: int = CHUNK_BITS):
         self.tok, self.mask = load(path), np.uint64((1 << bits) - 1)
         special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Kept(WORDS), Kept(CHUNKS)
         self.joins = self.repaired = 0
         vocab = self.tok.get_vocab(with_added_tokens=True)
         shown = {c: b for b, c in _shown_bytes().items()}
@@ -143,10 +164,7 @@ class ChunkEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Words as they stand after a space."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-            new = list(words)
+        new = self.words.lacks(words)
         for a in range(0, len(new), TOGETHER):
             some = [" " + w for w in new[a : a + TOGETHER]]
             ids = np.array(self.tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -183,10 +201,7 @@ class ChunkEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) if t else [] for t in texts]
         chunks = {c for cs in cut for c in cs}
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > CHUNKS:
-            self.chunks.clear()
-            new = list(chunks)
+        new = self.chunks.lacks(chunks)
         plain, whole = [], []
         for c in new:
             (plain if self._by_words(c) else whole).append(c)
