@@ -11,9 +11,9 @@ templates are ordered by how many documents hold them, rarest first:
 * prefix filter: a stretch that misses at most |T| - need words of T holds one of the
   |T| - need + 1 rarest, so stretches and templates are joined on those words alone;
 * length filter: a stretch needs at least `need` template words in all;
-* positional filter: a shared word at place i of T and place j of the stretch's ordered words
-  allows at most 1 + min(what follows either) common words, and none came before in the
-  prefix if this is the first shared one;
+* positional filter: pairs are kept at their first shared word only, so if it stands at place i
+  of T and place j of the stretch's ordered words, common words are at most 1 + min(what follows
+  either);
 * candidates are verified by the size of the intersection with every block that starts at a
   word of the template, as no other block holds more.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .tables import table
 
-BLOCK, STRIDE, THRESHOLD = 64, 32, 0.9
+BLOCK, THRESHOLD = 64, 0.9
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Opening statements of well-known licenses.
@@ -102,8 +102,8 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
     tokens = blocks.select(*name, "near", "b", F.posexplode("b").alias("j", "p"))
     shared = F.array_intersect("members", "b")
     pairs = tokens.join(F.broadcast(probes), "p")  # one row for each prefix word: a constant
-    pairs = pairs.filter((F.size("b") >= F.col("need")) & (1 + F.col("i") + F.least(F.col("size") - F.col("i") - 1, F.size("b") - F.col("j") - 1) >= F.col("need")))
-    pairs = pairs.filter((F.size(shared) >= F.col("need")) & (shared[0] == F.col("p")))
+    pairs = pairs.filter((F.size("b") >= F.col("need")) & (F.least(F.col("size") - F.col("i"), F.size("b") - F.col("j")) >= F.col("need")))
+    pairs = pairs.filter((shared[0] == F.col("p")) & (F.size(shared) >= F.col("need")))
     begins = F.filter(F.transform(F.slice("near", 1, most), lambda w, i: F.when(F.array_contains("told", w), i + 1)), lambda i: i.isNotNull())
     common = F.array_max(F.transform(begins, lambda i: F.size(F.array_intersect("told", F.slice("near", i, F.col("span"))))))
     pairs = pairs.withColumn("common", common).filter(F.col("common") >= F.col("need"))
@@ -135,7 +135,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """Every block against every template, by intersection."""
+    """Every block that starts at a word of a template against every template, by intersection. No template needs a block of more than BLOCK words."""
     templates = ", ".join(f"('{k}', {sorted(set(v.split()))!r})" for k, v in TEMPLATES.items())
     doubled, phrases = "' ' || replace(norm, ' ', '  ') || ' '", list(BASE.items())
     q = {p: f"' {p.replace(' ', '  ')} '" for p in BASE}
@@ -145,9 +145,10 @@ def _oracle() -> str:
     last = {p: f"CASE WHEN {n[p]} > 0 THEN n_words - {words_in(f'split_part(dd, {x}, -1)')} - {len(p.split())} END" for p, x in q.items()}
     return f"""
 WITH t(label, members) AS (VALUES {templates}),
+v AS (SELECT list_distinct(flatten(list(members))) AS vocab FROM t),
 d AS (SELECT row_number() OVER () AS r, doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_WORD}', ' ', 'g'), ' ') AS norm FROM documents),
 w AS (SELECT r, doc_id, norm, {doubled} AS dd, CASE WHEN norm = '' THEN [] ELSE string_split(norm, ' ') END AS words, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n_words FROM d),
-b AS (SELECT r, list_distinct(words[s + 1 : s + {BLOCK}]) AS block FROM (SELECT r, words, unnest(range(0, greatest(n_words - {BLOCK - STRIDE + 1}, 0) + 1, {STRIDE})) AS s FROM w)),
+b AS (SELECT r, list_distinct(words[s + 1 : s + {BLOCK}]) AS block FROM (SELECT r, words, unnest(range(0, n_words)) AS s FROM w), v WHERE list_contains(vocab, words[s + 1])),
 m AS (SELECT r, label, max(len(list_intersect(block, members)) / len(members)) AS c FROM b, t WHERE len(list_intersect(block, members)) >= ceil({THRESHOLD} * len(members) - 1e-9) GROUP BY ALL),
 f AS (SELECT r, list(label) AS found, max(c) AS best FROM m GROUP BY r),
 p AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {n[p]} > 0 THEN '{label}' END" for p, label in phrases)}], lambda v: v IS NOT NULL) AS base FROM w LEFT JOIN f USING (r))
