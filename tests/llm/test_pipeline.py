@@ -43,3 +43,38 @@ def test_stages_keep_columns_and_follow_brute_force(spark):
         before = now
         seen.append(name)
     assert len(seen) == 5
+
+
+CLASHING = ("__h", "__t", "__nb", "__spans", "__key", "__n", "text_hash", "cut_spans", "kept_key", "copy", "fp", "x", "sequence_id")
+
+
+@pytest.mark.parametrize("classes", [2, 1, 0])
+def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path, classes):
+    """Nulls, empty texts, repeated rows and keys, more columns; a null stays null and the columns ride along."""
+    from stellate.llm.tables import written
+
+    from .conftest import prose, rows
+
+    data = [(i, t, "en", "s", None if t is None else len(t), *(f"{c}{n}" for c in CLASHING)) for n, (i, t) in enumerate([*rows(), (5, prose(1, 400)), (41, prose(50, 300)), (41, prose(51, 300)), (None, None)])]
+    data += data[-3:]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    marks = [(i, int(i % 2)) for i in range(12)] if classes == 2 else [(i, 0) for i in range(12)] if classes else []
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for some in (data, []):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in pipeline.STAGES:
+            before = docs
+            docs = written(stage(spark, docs, str(tmp_path)), name)
+            if name == "packing":
+                assert docs.select("doc_id", "start").distinct().count() <= docs.count()
+                assert docs.filter("start = 0").count() == before.count()
+                continue
+            assert docs.columns == before.columns
+            rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+            assert docs.select(*rest).exceptAll(before.select(*rest)).count() == 0  # rows go, nothing else changes
+            if name == "quality_classifier" and classes < 2:
+                assert docs.count() == before.count()
+            if name == "simhash_near_dedup" and some:
+                assert docs.filter("text is null or text = ''").count() <= 1 and docs.count() >= min(8, before.count() // 3)
+            if name in ("suffix_array_dedup", "secret_scans"):
+                assert docs.count() == before.count() and docs.filter("text is null").count() == before.filter("text is null").count()

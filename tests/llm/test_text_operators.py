@@ -24,10 +24,7 @@ def license_brute(t):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     places = [(i, lab) for p, lab in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
     base = sorted({lab for _, lab in places})
-    found = set()
-    for s in range(0, max(len(words) - 33, 0) + 1, 32):
-        block = set(words[s : s + 64])
-        found |= {lab for lab, tt in license_scan.TEMPLATES.items() if len(block & set(tt.split())) >= 0.9 * len(set(tt.split())) - 1e-9}
+    found = {x for x in license_every_start(t or "", license_scan.TEMPLATES).split(",") if x}
     at = [i for i, _ in places]
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted({*base, *found}))
 
@@ -203,9 +200,25 @@ def test_chunks_are_shared_by_copies():
 
 
 def test_round_trip_rows(docs, none):
-    got = bpe.round_trip(docs, vocab.path("byte_bpe_50k.json")).select("doc_id", "decoded_sha256").collect()
-    same(got, [(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows()])
-    assert bpe.round_trip(none, vocab.path("byte_bpe_50k.json")).count() == 0
+    path = vocab.path("byte_bpe_50k.json")
+    tok = bpe.load(path)
+    want = []
+    for i, t in rows():
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(bpe.packed(ids)).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    same(bpe.round_trip(docs, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect(), want)
+    assert bpe.round_trip(none, path).count() == 0
+
+
+def test_memories_stay_small_and_whole(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS", 40)
+    monkeypatch.setattr(bpe, "CHUNKS", 5)
+    e7, e5 = bpe.ChunkEncoder(vocab.path("byte_bpe_50k.json")), bpe.WordEncoder(vocab.path("word_bpe_49k.json"))
+    for i in range(12):
+        texts = [prose(i, 300), prose(i // 2, 300)]
+        for e in (e7, e5):
+            assert e.encode_all(texts) == [bpe.packed(e.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(e7.chunks.old) < 200 and len(e5.words.old) < 2000
 
 
 # ---- packing ----
@@ -338,22 +351,46 @@ def suffix_brute(texts, size=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [20000, 2])
-def test_suffixes_against_brute_force(spark, docs, none, monkeypatch, hot):
+@pytest.mark.parametrize(("size", "hot"), [(200, 400_000), (200, 300), (16, 400_000), (32, 400_000), (32, 50), (300, 400_000), (300, 500), (1000, 400_000)])
+def test_suffixes_against_brute_force(spark, docs, none, monkeypatch, size, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    want = suffix_brute([(t or "").encode() for _, t in rows()])
-    got = [(*tuple(r)[:4], bytes(r["kept"])) for r in suffix_dedup.remove(docs).collect()]
-    same(got, [(i, *w) for (i, _), w in zip(rows(), want, strict=True)])
-    assert suffix_dedup.remove(none).count() == 0
+    if size >= 200:
+        want = suffix_brute([(t or "").encode() for _, t in rows()], size)
+        got = [(*tuple(r)[:4], bytes(r["kept"])) for r in suffix_dedup.remove(docs, size).collect()]
+        same(got, [(i, *w) for (i, _), w in zip(rows(), want, strict=True)])
+    if (size, hot) == (200, 400_000):
+        assert suffix_dedup.remove(none).count() == 0
     r = random.Random(6)
-    base = ["".join(r.choice("abcdé ") for _ in range(900)) for _ in range(4)]
+    base = ["".join(r.choice("abcdé ") for _ in range(4 * size + 100)) for _ in range(4)]
     texts = []
     for _ in range(60):
-        b, a = r.choice(base), r.randint(0, 600)
-        x = b[a : a + r.choice([190, 199, 200, 201, 250, 300])]
+        b, a = r.choice(base), r.randint(0, 3 * size)
+        x = b[a : a + size + r.choice([-10, -1, 0, 1, 50, 100])]
+        if r.random() < 0.4:  # differs at one place
+            i = r.randrange(len(x))
+            x = x[:i] + "#" + x[i + 1 :]
         texts.append(prose(r.randint(0, 9999), 3) + x + prose(r.randint(0, 9999), 3))
-    got = suffix_dedup.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
-    same([(*tuple(g)[:4], bytes(g["kept"])) for g in got], [(i, *w) for i, w in enumerate(suffix_brute([t.encode() for t in texts]))])
+    got = suffix_dedup.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), size).collect()
+    same([(*tuple(g)[:4], bytes(g["kept"])) for g in got], [(i, *w) for i, w in enumerate(suffix_brute([t.encode() for t in texts], size))])
+
+
+def test_suffix_thresholds_have_a_range(docs):
+    for size in (0, suffix_dedup.MOST + 1):
+        with pytest.raises(ValueError, match="threshold"):
+            suffix_dedup.remove(docs, size)
+
+
+def test_digit_passes_end_on_equal_bytes():
+    from collections import Counter
+
+    r = random.Random(1)
+    for depth in (1, 3, 8, 16, 20, 200):
+        t = bytes(r.choice(b"ab") for _ in range(1500)) + b"abcabcab" * 100
+        data, n = np.frombuffer(t, np.uint8), len(t) - depth + 1
+        group = np.array([r.randrange(2) for _ in range(n)])
+        many = Counter((int(group[i]), t[i : i + depth]) for i in range(n))
+        got = suffix_dedup.equal_at(data, np.arange(n), group, depth)
+        assert sorted(got.tolist()) == [i for i in range(n) if many[int(group[i]), t[i : i + depth]] > 1]
 
 
 def test_deduplicated_keeps_rows_and_columns(docs):
@@ -364,29 +401,90 @@ def test_deduplicated_keeps_rows_and_columns(docs):
 
 # ---- order minhash ----
 
-def test_order_fingerprints(spark, docs, none, monkeypatch):
+M64, M32 = (1 << 64) - 1, (1 << 32) - 1
+
+
+def mix_brute(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def order_minhash_brute(text, s):
+    """64 numbers of a text: plain dictionaries, sorting and whole numbers; only the drawn constants are the sketcher's."""
+    import xxhash
+
+    steps, words = [int(x) for x in s.steps], []
+    for w in text.split():
+        if len(w) <= 16:
+            words.append(xxhash.xxh64_intdigest(w.encode(), order_minhash.SEED))
+            continue
+        for i in range(len(w) - 15):
+            h = 0
+            for c in w[i : i + 16]:
+                h = (h * 0x100000001B3 + mix_brute((ord(c) + steps[0]) & M64)) & M64
+            words.append(mix_brute(h))
+    if not words:
+        return [0] * 64
+    k, seen, kmers = min(3, len(words)), {}, []
+    for i in range(len(words) - k + 1):
+        g = 0
+        for j in range(k):
+            g = mix_brute((g + words[i + j] * steps[j]) & M64)
+        seen[g] = seen.get(g, -1) + 1
+        kmers.append(mix_brute((g + seen[g] * 0x9E3779B97F4A7C15) & M64))
+    out = []
+    for a, b in zip(s.times, s.plus, strict=True):
+        least = sorted(range(len(kmers)), key=lambda i: (((kmers[i] >> 32) * int(a) + int(b)) & M32, i))[:2]
+        t = 0
+        for j, i in enumerate(sorted(least)):
+            t = mix_brute((t + kmers[i] * steps[j]) & M64)
+        out.append(t >> 48)
+    return out
+
+
+def test_likeness_survives_repeats():
     s = order_minhash.Sketcher()
-    a = prose(11, 300)
-    words = a.split()
-    random.Random(1).shuffle(words)
     like = lambda x, y: order_minhash.likeness(s.sketch(x), s.sketch(y))
-    assert like(a, a) == 1 and like(a, a[:-20]) > 0.7 > like(a, " ".join(words)) and like("", "") == 1
+    words = [f"w{i}" for i in range(300)]
+    a = " ".join(words)
+    assert like(a, f"{a} {' '.join(words[-3:])}") > 0.8 and like(a, f"{a} new words") > 0.8
+    twice = f"{a} {a}"
+    assert like(twice, f"{twice} new words") > 0.8
+    run = "".join(chr(0x4E00 + i * 37 % 900) for i in range(400))
+    assert like(run, "x" + run) > 0.8 and like(run + " tail", run[:200] + "y" + run[200:] + " tail") > 0.6
+    random.Random(1).shuffle(words)
+    assert like(a, a) == 1 and like(a, " ".join(words)) < 0.1 and like("", " ") == 1
     assert like(a, " ".join(words[:150]) + " " + a) < like(a, a + " tail")
-    assert order_minhash.fingerprints(docs).filter("length(fingerprint) <> 256").count() == 0
-    assert order_minhash.edited_neighbours(none).count() == 0
-    for size in (4096, 3):
-        monkeypatch.setattr(order_minhash, "RANGE_ROWS", size)
-        some = [(i, t) for i, t in rows() if i is not None]
-        some = sorted({x for x in some}, key=lambda x: -x[0])
-        df = spark.createDataFrame(some, "doc_id long, text string").repartition(4)
-        want = []
-        for j, (i, t) in enumerate(some):
-            t, nxt = t or "", some[(j + 1) % len(some)][1] or ""
-            e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-            x, y, z = s.sketch(t), s.sketch(e), s.sketch(nxt)
-            want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), s.shown(x), s.shown(y), order_minhash.likeness(x, y), order_minhash.likeness(x, z)))
+
+
+@pytest.mark.parametrize("parts", ["4", "1", "13"])
+def test_order_fingerprints_against_brute_force(spark, docs, none, parts):
+    s = order_minhash.Sketcher()
+    some = sorted({(i, t) for i, t in rows() if i is not None and i != 10}, key=lambda x: -x[0])
+    some += [(-1, " ".join(["the cat sat"] * 20)), (-2, "a b c " * 9 + "x" * 40 + " a b c")]
+    want = []
+    shown = lambda v: "".join(f"{x:04x}" for x in v)
+    alike = lambda v, w: sum(x == y for x, y in zip(v, w, strict=True)) / 64
+    for j, (i, t) in enumerate(some):
+        t, nxt = t or "", some[(j + 1) % len(some)][1] or ""
+        e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        x, y, z = (order_minhash_brute(v, s) for v in (t, e, nxt))
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), shown(x), shown(y), alike(x, y), alike(x, z)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        df = spark.createDataFrame([(i, t, "c", 1) for i, t in some], "doc_id long, text string, body string, part int").repartition(4)
         same(order_minhash.edited_neighbours(df).collect(), want)
-    assert order_minhash.edited_neighbours(docs).count() == docs.count()
+        by_name = order_minhash.edited_neighbours(df.select(F.format_string("%05d", F.col("doc_id") + 100).alias("doc_id"), "text")).collect()
+        same([tuple(r)[1:] for r in by_name], [w[1:] for w in want])
+        assert order_minhash.edited_neighbours(docs).count() == docs.count() and order_minhash.edited_neighbours(none).count() == 0
+        alone = order_minhash.edited_neighbours(df.limit(0).unionByName(df.filter("doc_id = -1"))).collect()
+        assert len(alone) == 1 and alone[0]["near_next"] == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r["doc_id"]: r["fingerprint"] for r in order_minhash.fingerprints(df).collect()}
+    assert got == {w[0]: w[3] for w in want}
 
 
 # ---- quality ----
@@ -405,6 +503,38 @@ def test_quality_separates_and_survives_odd_rows(spark, docs, none):
     assert quality.classify(docs, marks.limit(0)).filter("score <> 0.5").count() == 0
     kept = quality.accepted(every, marks)
     assert kept.columns == every.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"]}
+    for one in (marks.filter("quality = 0"), marks.limit(0)):
+        assert quality.accepted(every, one).count() == every.count()
+    assert quality.accepted(none, marks).count() == 0
+
+
+def test_quality_scores_against_plain_discriminant(spark):
+    """Class Gaussians from all training rows at once; determinants and solutions in place of Cholesky factors."""
+    texts = [(i, prose(i, 20 + i % 50) if i % 3 else " ".join(w + "!?" * (i % 4) for w in prose(i, 30).split()).upper()) for i in range(400)]
+    marks = {i: int(i % 3 != 0 or i % 7 == 0) for i in range(0, 400)}
+    x = np.array([quality.statistics(t) for _, t in texts])
+    train = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in texts])
+    y = np.array([marks[i] for i, _ in texts])
+    own = {c: x[train & (y == c)] for c in (0, 1)}
+    cov = {c: np.cov(v.T, bias=True) for c, v in own.items()}
+    n = {c: len(v) for c, v in own.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    logs = {}
+    for c in (0, 1):
+        s = (1 - quality.TO_POOLED) * cov[c] + quality.TO_POOLED * pooled
+        s = (1 - quality.TO_IDENTITY) * s + (quality.TO_IDENTITY * np.trace(pooled) / x.shape[1] + 1e-6) * np.eye(x.shape[1])
+        r = x - own[c].mean(0)
+        logs[c] = np.log(n[c] / (n[0] + n[1])) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (r * np.linalg.solve(s, r.T).T).sum(1)
+    delta = logs[1] - logs[0]
+    cuts = np.sinh(np.arange(np.floor(np.arcsinh(delta[train].min()) * quality.BINS), np.floor(np.arcsinh(delta[train].max()) * quality.BINS) + 2) / quality.BINS)
+    right = np.array([(delta[train & (y == 1)] >= c).mean() + (delta[train & (y == 0)] < c).mean() for c in cuts])
+    best = np.flatnonzero(np.isclose(right, right.max(), atol=1e-12))
+    shift = np.sinh((np.arcsinh(cuts[best[0]]) + np.arcsinh(cuts[best[-1]])) / 2)
+    want = 1 / (1 + np.exp(-(delta - shift + np.log(quality.CUT / (1 - quality.CUT)))))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in quality.classify(docs, spark.createDataFrame(list(marks.items()), "doc_id long, quality int")).collect()}
+    assert [got[i]["score"] for i in range(400)] == pytest.approx(want.tolist(), abs=1e-9)
+    assert [got[i]["predicted"] for i in range(400)] == (want >= quality.CUT).astype(int).tolist()
 
 
 # ---- sharding ----
