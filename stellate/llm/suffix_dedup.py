@@ -19,9 +19,12 @@ equal windows have equal digits:
    each pass, a group whose digits are all equal isn't sorted, and what is left at the
    threshold is equal byte by byte.
 
-An anchor that more than HOT windows share isn't dealt to one task: its windows, one row for
-each, are counted by a 128-bit hash of their bytes with partial aggregates. Anchors and runs are
-compared by 64-bit hashes each, so runs are told apart by 128 bits.
+An anchor that more than HOT windows share isn't dealt to one task. Its runs are cut into pieces
+of PIECE neighbouring places of the anchor, which are counted, with partial aggregates, by a
+128-bit hash of the bytes that all windows of a piece hold: a piece alone leaves, and where all
+that share those bytes are equal, they are equal groups. Windows of the other pieces, about one
+piece for each run, are counted one by one by 128-bit hashes. Anchors and runs are compared by
+64-bit hashes each, so runs are told apart by 128 bits.
 
 Thresholds from 1 to MOST bytes; others raise ValueError. The time grows with the windows of
 differing runs, up to threshold bytes read for each.
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .tables import batches_of, drop_written, fresh, release, table, written
 
-THRESHOLD, KMER, HOT, MOST = 200, 32, 400_000, 1 << 15
+THRESHOLD, KMER, HOT, PIECE, MOST = 200, 32, 1_000_000, 16, 1 << 15
 #: Windows sorted at a time, if groups are smaller.
 AT_ONCE = 100_000
 #: Bytes hashed at a time; a longer text is cut into overlapping segments.
@@ -224,26 +227,25 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", t
     drop_written(met)
     names = rows.groupBy("t", "nb").agg(F.min("k").alias("k"))
 
-    def held(hot: bool) -> DataFrame:
-        """Rows (t, nb, ws, body): one text for each, and its differing runs."""
-        left = once.join(several.filter("hot" if hot else "not hot").select("h"), "h", "left_semi").groupBy("t", "nb").agg(F.collect_list(F.struct("h", "w")).alias("ws"))
-        left = left.join(names, ["t", "nb"])
-        return rows.join(left.withColumnRenamed("k", "k2"), ["t", "nb"]).filter(F.col("k").eqNullSafe(F.col("k2"))).select("t", "nb", "ws", "body")
+    left = once.join(several, "h").groupBy("t", "nb").agg(F.collect_list(F.struct("h", "w", "hot")).alias("ws"))
+    left = left.join(names, ["t", "nb"])
+    # one text for each, and its differing runs
+    held = rows.join(left.withColumnRenamed("k", "k2"), ["t", "nb"]).filter(F.col("k").eqNullSafe(F.col("k2"))).select("t", "nb", "ws", "body")
 
     def parts_of(batches):
-        """(h, t, nb, first, anchor, bytes) of every run."""
+        """(hot, h, t, nb, first, anchor, bytes) of every run."""
         for b in batches_of(batches):
             for t, nb, ws, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = body.encode()
                 for x in ws:
                     w, anchor = divmod(x["w"], base)
                     first, many = divmod(w, base)
-                    yield x["h"], t, nb, first, anchor, data[first : first + many - 1 + threshold]
+                    yield x["hot"], x["h"], t, nb, first, anchor, data[first : first + many - 1 + threshold]
 
     def contexts(batches):
-        kinds = [pa.int64()] * 5 + [pa.binary()]
+        kinds = [pa.bool_(), *[pa.int64()] * 5, pa.binary()]
         for some in _by(parts_of(batches), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=["h", "t", "nb", "first", "anchor", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=["hot", "h", "t", "nb", "first", "anchor", "part"])
 
     def last_digits(batches):
         def told(block):
@@ -279,31 +281,58 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", t
             yield from told(block)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    parts = held(False).mapInArrow(contexts, "h long, t long, nb long, first long, anchor long, part binary")
-    found = written(parts.repartition(n, "h").sortWithinPartitions("h").mapInArrow(last_digits, "t long, nb long, start long, end long"), "spans")
-    if several.filter("hot").limit(1).count():
-
-        def singly(batches):
-            from xxhash import xxh3_128_digest
-
-            def each():
-                for _, t, nb, first, _, part in parts_of(batches):
-                    for i in range(len(part) - threshold + 1):
-                        yield t, nb, first + i, first + i + threshold, xxh3_128_digest(part[i : i + threshold])
-
-            for some in _by(each(), 10_000):
-                *numbers, window = zip(*some, strict=True)
-                pair = np.frombuffer(b"".join(window), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), *(pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1))], names=["t", "nb", "start", "end", "x", "y"])
-
-        lone = written(held(True).mapInArrow(singly, "t long, nb long, start long, end long, x long, y long"), "windows")
-        both = lone.groupBy("x", "y").count().filter("count > 1").select("x", "y")
-        found = found.unionByName(lone.join(both, ["x", "y"], "left_semi").select("t", "nb", "start", "end"))
+    parts = held.mapInArrow(contexts, "hot boolean, h long, t long, nb long, first long, anchor long, part binary")
+    any_hot = bool(several.filter("hot").limit(1).count())
+    if any_hot:
+        parts = written(parts, "parts")
+    cold = (parts.filter("not hot") if any_hot else parts).drop("hot")
+    found = written(cold.repartition(n, "h").sortWithinPartitions("h").mapInArrow(last_digits, "t long, nb long, start long, end long"), "spans")
+    if any_hot:
+        found = found.unionByName(_hot_spans(parts.filter("hot").drop("hot"), threshold))
     drop_written(once)
     release(spark)
     return whole.unionByName(found).distinct().groupBy("t", "nb").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def _hot_spans(parts: DataFrame, threshold: int) -> DataFrame:
+    """Rows (t, nb, start, end) that cover the repeated windows among runs of anchors too frequent for a task."""
+    import pyarrow as pa
+
+    def rows_of(batches, tell):
+        from xxhash import xxh3_128_digest
+
+        for some in _by((row for b in batches_of(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True) for row in tell(*r)), 10_000):
+            *numbers, hashed = zip(*some, strict=True)
+            pair = np.frombuffer(b"".join(map(xxh3_128_digest, hashed)), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), *(pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1))], names=["t", "nb", "first", "lo", "hi", "f", "x", "y"])
+
+    def pieces(h, t, nb, first, anchor, part):
+        from xxhash import xxh3_64_intdigest
+
+        many = len(part) - threshold + 1
+        for block in range((anchor - many + 1) // PIECE, anchor // PIECE + 1):
+            a, b = block * PIECE, block * PIECE + PIECE - 1  # places of the anchor in windows
+            lo, hi = max(anchor - b, 0), min(anchor - a, many - 1) + 1
+            core = part[max(anchor - a, 0) : anchor + threshold - b]
+            f = xxh3_64_intdigest(part[lo : hi - 1 + threshold], anchor - lo) - (1 << 63)
+            yield t, nb, first, lo, hi, f, b"%d/%d/" % (h, block) + core
+
+    def singly(h, t, nb, first, anchor, part, lo, hi):
+        for i in range(lo, hi):
+            yield t, nb, first, i, i + 1, 0, part[i : i + threshold]
+
+    schema = "t long, nb long, first long, lo long, hi long, f long, x long, y long"
+    cut = written(parts.mapInArrow(lambda b: rows_of(b, pieces), schema), "pieces")
+    shared = written(cut.groupBy("x", "y").agg(F.count("*").alias("n"), (F.min("f") == F.max("f")).alias("same")).filter("n > 1").drop("n"), "cores")
+    kept = written(cut.join(shared, ["x", "y"]), "kept")
+    drop_written(cut)
+    mixed = parts.join(kept.filter("not same").select("t", "nb", "first", "lo", "hi"), ["t", "nb", "first"]).select("h", "t", "nb", "first", "anchor", "part", "lo", "hi")
+    lone = written(mixed.mapInArrow(lambda b: rows_of(b, singly), schema), "windows")
+    both = lone.groupBy("x", "y").count().filter("count > 1").select("x", "y")
+    found = kept.filter("same").select("t", "nb", "first", "lo", "hi").unionByName(lone.join(both, ["x", "y"], "left_semi").select("t", "nb", "first", "lo", "hi"))
+    return found.select("t", "nb", (F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi") - 1 + threshold).alias("end"))
+
+
 def _by(items, n: int):
     """Lists of up to n items."""
     items = iter(items)
