@@ -37,7 +37,7 @@ _LOOSE = re.compile(r" \s|\s |\s\Z|\A\s")
 _UNSURE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Letters alone, whose lower case is letters again, and ASCII marks after them: each is one piece to the word tokenizer.
 _CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@\[-`{-~]*)")
-WORDS, CHUNKS, CHUNK_BITS, TOGETHER = 250_000, 20_000, 9, 20_000
+WORDS, CHUNKS, CHUNK_BITS, TOGETHER = 400_000, 20_000, 9, 20_000
 
 
 def packed(ids: list[int]) -> bytes:
