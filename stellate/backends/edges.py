@@ -109,18 +109,27 @@ def left_base(values: DataFrame, column: str, bins: int, floor_frac: float, smoo
     return out
 
 
-def footprint_gate(points: DataFrame, config: KdeValleyConfig, fov: tuple[float, float, float, float]) -> DataFrame:
-    """Rows (emitter_idx) within the filled footprint of points above the density valley."""
+def valley_gate(points: DataFrame, config: KdeValleyConfig) -> DataFrame:
+    """Rows (emitter_idx, dense): whether the kernel density reaches the left base of its histogram's peak."""
     rho = written(kde_density(points, config.sigma_nm / 1000, config.rmax_sigma).withColumn("l", F.log10(F.col("rho") + 1)), "kde")
     at = left_base(rho, "l", config.valley_nbins, config.valley_floorfrac, config.valley_smooth).first()[0]
-    dense = rho.select("emitter_idx", (F.col("rho") >= F.lit(10.0**at - 1)).alias("dense"))
+    return rho.select("emitter_idx", (F.col("rho") >= F.lit(10.0**at - 1)).alias("dense"))
+
+
+def footprint_gate(points: DataFrame, config: KdeValleyConfig, fov: tuple[float, float, float, float]) -> DataFrame:
+    """Rows (emitter_idx) within the filled footprint of points above the density valley. The raster's kernel gets the bins that hold such points, and no points."""
+    size = config.footprint_bin_um
+    x0, y0, columns, rows = R.raster(points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first(), fov, size)
+    place = lambda c, lo, n: F.greatest(F.least(F.floor((F.col(c) - F.lit(float(lo))) / F.lit(float(size))), F.lit(n - 1)), F.lit(0)).cast("int")
+    binned = points.select("emitter_idx", place("x", x0, columns).alias("bx"), place("y", y0, rows).alias("by"))
+    dense = binned.join(valley_gate(points, config).filter("dense").select("emitter_idx"), "emitter_idx", "left_semi").select("bx", "by").distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = R.footprint(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["dense"].to_numpy(bool), fov, config.footprint_bin_um, config.footprint_closing_px)
-        return pdf.loc[held, ["emitter_idx"]]
+        i, j = np.nonzero(R.filled(pdf["bx"].to_numpy(), pdf["by"].to_numpy(), (columns, rows), config.footprint_closing_px))
+        return pd.DataFrame({"bx": i.astype(np.int32), "by": j.astype(np.int32)})
 
-    # one point of each (bin, dense) stands for all of them: the raster depends on bins alone
-    return points.join(dense, "emitter_idx").select("emitter_idx", "x", "y", "dense").groupBy(F.lit(0).alias("g")).applyInPandas(run, "emitter_idx long")
+    full = written(dense.groupBy(F.lit(0).alias("g")).applyInPandas(run, "bx int, by int"), "footprint")
+    return binned.join(full, ["bx", "by"], "left_semi").select("emitter_idx")
 
 
 def core_gate(points: DataFrame, radius: float, frac: float) -> DataFrame:

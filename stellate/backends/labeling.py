@@ -215,6 +215,8 @@ def _(config: MRFDensityConfig, ps: PointSet) -> tuple[DataFrame, dict[str, Any]
 
 def calibrate_regime_gaussians(ps: PointSet, n_regimes: int = 2, density_estimator: str = "knn", density_k: int = 20) -> dict[str, list[float]]:
     """A mixture of log densities, all datasets pooled, by expectation maximisation over partial sums in the cluster."""
+    if n_regimes < 2 or density_k < 1:
+        raise ValueError(f"calibration needs n_regimes >= 2 and density_k >= 1; got {n_regimes} and {density_k}")
     x = log_densities(ps, density_estimator, density_k)
     return distributed_mixture(written(x, "density"), n_regimes)
 
@@ -231,12 +233,14 @@ def log_densities(ps: PointSet, density_estimator: str = "knn", density_k: int =
 
 
 def distributed_mixture(x: DataFrame, k: int) -> dict[str, list[float]]:
-    """As the kernel's mixture, a round of sums at a time; the start is at exact percentiles."""
-    q = [j / (k + 1) for j in range(1, k + 1)]
-    s = x.agg(F.count("*").alias("n"), F.var_samp("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile("x", q).alias("q")).first()
-    if s["n"] < k or s["lo"] == s["hi"]:
+    """As the kernel's mixture, a round of sums at a time; the start is at the same order statistics."""
+    s = x.agg(F.count("*").alias("n"), F.var_samp("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    n = s["n"]
+    if n < k or s["lo"] == s["hi"]:
         raise RuntimeError("too few distinct densities for a mixture")
-    mean, var, weight, before = list(s["q"]), [max(s["v"], 1e-10)] * k, [1 / k] * k, -np.inf
+    # the value at place floor(j n / (k + 1)), from 0
+    starts = x.agg(*[F.expr(f"percentile_disc({(min(int(j / (k + 1) * n), n - 1) + 0.5) / n!r}D) WITHIN GROUP (ORDER BY x)").alias(f"q{j}") for j in range(1, k + 1)]).first()
+    mean, var, weight, before = list(starts), [max(s["v"], 1e-10)] * k, [1 / k] * k, -np.inf
     for _ in range(fields.MOST_ROUNDS):
         logs = [F.lit(float(np.log(w) - 0.5 * np.log(2 * np.pi * v))) - (F.col("x") - F.lit(float(m))) * (F.col("x") - F.lit(float(m))) / F.lit(2 * float(v)) for m, v, w in zip(mean, var, weight, strict=True)]
         top = F.greatest(*logs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isfinite
 from typing import Any
 
 
@@ -120,6 +121,7 @@ class MRFDensityConfig(ClusterConfig):
         if self.regime_gaussians is not None:
             g = self.regime_gaussians
             _need(all(len(g[c]) == self.n_regimes for c in ("means", "vars", "weights")), "regime_gaussians need n_regimes entries each")
+            _need(all(isfinite(v) for c in ("means", "vars", "weights") for v in g[c]), "regime_gaussians must be finite")
             _need(all(a < b for a, b in zip(g["means"], g["means"][1:], strict=False)), "means must ascend")
             _need(min(g["vars"]) > 0 and min(g["weights"]) > 0, "vars and weights must be > 0")
         if self.use_3d:

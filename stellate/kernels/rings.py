@@ -201,18 +201,19 @@ def segment_distance(x: np.ndarray, y: np.ndarray, s: np.ndarray, block: int = 2
     return dist, which
 
 
-def footprint(x: np.ndarray, y: np.ndarray, dense: np.ndarray, fov: tuple[float, float, float, float], bin_size: float, closing: int) -> np.ndarray:
-    """Points in bins that hold dense points, or that dilated ones enclose from the border; bins reach one field of view beyond it."""
+def raster(box: tuple[float, float, float, float], fov: tuple[float, float, float, float], bin_size: float) -> tuple[float, float, int, int]:
+    """(x0, y0, columns, rows) of bins over the points' box (x0, x1, y0, y1), up to one field of view beyond it."""
+    out = []
+    for (a, b), (lo, hi) in ((box[:2], fov[:2]), (box[2:], fov[2:])):
+        a, b = (min(max(v, lo - (hi - lo)), hi + (hi - lo)) for v in (a, b))
+        out.append((a, max(1, int(np.ceil((b - a) / bin_size)) + 1)))
+    return out[0][0], out[1][0], out[0][1], out[1][1]
 
-    def bounds(v, lo, hi):
-        return np.clip(v.min(), lo - (hi - lo), hi + (hi - lo)), np.clip(v.max(), lo - (hi - lo), hi + (hi - lo))
 
-    (x0, x1), (y0, y1) = bounds(x, *fov[:2]), bounds(y, *fov[2:])
-    shape = tuple(max(1, int(np.ceil((b - a) / bin_size)) + 1) for a, b in ((x0, x1), (y0, y1)))
-    i = np.clip(np.floor((x - x0) / bin_size).astype(int), 0, shape[0] - 1)
-    j = np.clip(np.floor((y - y0) / bin_size).astype(int), 0, shape[1] - 1)
+def filled(i: np.ndarray, j: np.ndarray, shape: tuple[int, int], closing: int) -> np.ndarray:
+    """Raster of the bins (i, j), and of what they enclose from the border once dilated."""
     held = np.zeros(shape, bool)
-    held[i[dense], j[dense]] = True
+    held[i, j] = True
     wide = np.zeros(shape, bool)
     for a, b in zip(*np.nonzero(held), strict=True):
         wide[max(a - closing, 0) : a + closing + 1, max(b - closing, 0) : b + closing + 1] = True
@@ -226,5 +227,12 @@ def footprint(x: np.ndarray, y: np.ndarray, dense: np.ndarray, fov: tuple[float,
             if 0 <= c < shape[0] and 0 <= d < shape[1] and not wide[c, d] and not outer[c, d]:
                 outer[c, d] = True
                 todo.append((c, d))
-    full = held | (~outer & ~wide)
-    return full[i, j]
+    return held | (~outer & ~wide)
+
+
+def footprint(x: np.ndarray, y: np.ndarray, dense: np.ndarray, fov: tuple[float, float, float, float], bin_size: float, closing: int) -> np.ndarray:
+    """Points in bins that hold dense points, or that those enclose."""
+    x0, y0, columns, rows = raster((x.min(), x.max(), y.min(), y.max()), fov, bin_size)
+    i = np.clip(np.floor((x - x0) / bin_size).astype(int), 0, columns - 1)
+    j = np.clip(np.floor((y - y0) / bin_size).astype(int), 0, rows - 1)
+    return filled(i[dense], j[dense], (columns, rows), closing)[i, j]

@@ -101,9 +101,9 @@ def _(spark, sf):
     return rounded(events_cloud(spark, sf).points.select("dataset", "emitter_idx", "x", "y"), "x", "y")
 
 
-@query("scan_orders_cloud", f"SELECT dataset, emitter_idx, round(x, 6) AS x, round(y, 6) AS y FROM ({OR})")
+@query("scan_orders_cloud", f"SELECT dataset, emitter_idx, round(x, 9) AS x, round(y, 9) AS y FROM ({OR})")
 def _(spark, sf):
-    return rounded(orders_cloud(spark, sf).points.select("dataset", "emitter_idx", "x", "y"), "x", "y")
+    return rounded(orders_cloud(spark, sf).points.select("dataset", "emitter_idx", "x", "y"), "x", "y", digits=9)
 
 
 @query("scan_embeddings_cloud_3d", f"SELECT dataset, emitter_idx, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM ({EM})")
@@ -152,15 +152,7 @@ def _(spark, sf):
     return rounded(p.select("emitter_idx", F.col("u")[0].alias("u0"), F.col("u")[1].alias("u1")), "u0", "u1")
 
 
-@query("circumradius", f"SELECT a.emitter_idx, round(CASE WHEN abs(2 * ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x))) < 1e-30 THEN NULL ELSE sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) * sqrt(pow(c.x - a.x, 2) + pow(c.y - a.y, 2)) * sqrt(pow(c.x - b.x, 2) + pow(c.y - b.y, 2)) / (2 * abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x))) END, 4) AS r FROM ({EM}) a JOIN ({EM}) b ON b.emitter_idx = a.emitter_idx + 1 JOIN ({EM}) c ON c.emitter_idx = a.emitter_idx + 2 WHERE a.emitter_idx % 3 = 0")
-def _(spark, sf):
-    p = embeddings_cloud(spark, sf).points.select("emitter_idx", "x", "y", (F.col("emitter_idx") % 3).alias("k"), (F.col("emitter_idx") - F.col("emitter_idx") % 3).alias("t"))
-    t = p.groupBy(F.col("t").alias("emitter_idx")).agg(*[F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{c}{i}") for i in range(3) for c in "xy"])
-    r = G.circumradius(*[F.col(f"{c}{i}") for i in range(3) for c in "xy"])
-    return t.filter("x0 is not null and x1 is not null and x2 is not null").select("emitter_idx", F.round(r, 4).alias("r"))
-
-
-@query("circumradius_every", f"SELECT dataset, emitter_idx, round(CASE WHEN abs(2 * ((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0))) < 1e-30 THEN NULL ELSE sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) * sqrt(pow(x2 - x0, 2) + pow(y2 - y0, 2)) * sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / (2 * abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0))) END, 4) AS r FROM (SELECT dataset, emitter_idx, x AS x0, y AS y0, lead(x, 1) OVER w AS x1, lead(y, 1) OVER w AS y1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2 FROM ({EM}) WINDOW w AS (PARTITION BY dataset ORDER BY emitter_idx)) WHERE x2 IS NOT NULL")
+@query("circumradius", f"SELECT dataset, emitter_idx, round(CASE WHEN abs(2 * ((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0))) < 1e-30 THEN NULL ELSE sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) * sqrt(pow(x2 - x0, 2) + pow(y2 - y0, 2)) * sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / (2 * abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0))) END, 4) AS r FROM (SELECT dataset, emitter_idx, x AS x0, y AS y0, lead(x, 1) OVER w AS x1, lead(y, 1) OVER w AS y1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2 FROM ({EM}) WINDOW w AS (PARTITION BY dataset ORDER BY emitter_idx)) WHERE x2 IS NOT NULL")
 def _(spark, sf):
     w = Window.partitionBy("dataset").orderBy("emitter_idx")
     t = embeddings_cloud(spark, sf).points.select("dataset", "emitter_idx", *[F.lead(c, i).over(w).alias(f"{c}{i}") for i in range(3) for c in "xy"])
@@ -371,13 +363,7 @@ def _(spark, sf):
     return events_cloud(spark, sf).points.select("emitter_idx", F.round(G.ring_distance(F.col("x"), F.col("y"), [SQUARE]), 6).alias("d"))
 
 
-@query("boundary_edges", "WITH t AS (SELECT l_orderkey % 500 AS a, l_partkey % 500 AS b FROM lineitem WHERE l_orderkey % 500 <> l_partkey % 500) SELECT least(a, b)::BIGINT AS a, greatest(a, b)::BIGINT AS b FROM t GROUP BY ALL HAVING count(*) = 1")
-def _(spark, sf):
-    t = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_orderkey") % 500).alias("p"), (F.col("l_partkey") % 500).alias("q")).filter("p <> q")
-    return t.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).count().filter("count = 1").select("a", "b")
-
-
-@query("boundary_edges_whole", "WITH t AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey <> l_partkey) SELECT least(a, b)::BIGINT AS a, greatest(a, b)::BIGINT AS b FROM t GROUP BY ALL HAVING count(*) = 1")
+@query("boundary_edges", "WITH t AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey <> l_partkey) SELECT least(a, b)::BIGINT AS a, greatest(a, b)::BIGINT AS b FROM t GROUP BY ALL HAVING count(*) = 1")
 def _(spark, sf):
     t = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").cast("long").alias("p"), F.col("l_partkey").cast("long").alias("q")).filter("p <> q")
     return t.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).count().filter("count = 1").select("a", "b")
@@ -426,36 +412,13 @@ def _(spark, sf):
 
 
 for _name, _config in {
-    "hierarchical_ward": C.HierarchicalConfig(n_clusters=5),
-    "hierarchical_complete": C.HierarchicalConfig(cut_threshold=200, linkage="complete"),
-    "hierarchical_average": C.HierarchicalConfig(cut_threshold=150, linkage="average"),
     "hdbscan": C.HDBSCANConfig(knn_graph_k=10),
     "hdbscan_leaf": C.HDBSCANConfig(knn_graph_k=10, cluster_selection_method="leaf"),
     "hdbscan_3d": C.HDBSCANConfig(knn_graph_k=10, use_3d=True),
 }.items():
     query(_name)(labelled(_config, embeddings_cloud))
-query("voronoi_cluster")(labelled(C.VoronoiConfig(density_factor=1.5)))
 query("mrf_density")(labelled(C.MRFDensityConfig()))
 query("mrf_density_knn")(labelled(C.MRFDensityConfig(density_estimator="knn", graph_kind="knn", density_k=10)))
-query("hysteresis")(labelled(C.PointHysteresisConfig(graph_k=6, min_points=20, per_dataset=True), events_cloud, seed="y < 0.1", support="y < 0.5"))
-
-
-@query("voronoi_density")
-def _(spark, sf):
-    _, info = api.cluster_statistics(events_cloud(spark, sf), C.VoronoiDensityConfig())
-    return rounded(info.groups, "median_density")
-
-
-@query("calibrate_gaussians")
-def _(spark, sf):
-    g = labeling.calibrate_regime_gaussians(events_cloud(spark, sf), density_k=10)
-    return spark.createDataFrame([(i + 1, *(round(g[c][i], 6) for c in ("means", "vars", "weights"))) for i in range(2)], "regime int, mean double, var double, weight double")
-
-
-@query("calibrate_thresholds")
-def _(spark, sf):
-    t = labeling.calibrate_regime_thresholds(events_cloud(spark, sf), density_k=10)
-    return spark.createDataFrame([(i + 1, round(x, 6)) for i, x in enumerate(t)], "boundary int, threshold double")
 
 
 # ---- edges -------------------------------------------------------------------
@@ -486,21 +449,4 @@ def _(spark, sf):
     report, _ = E.concavity_metric(_classified(spark, sf, "edge_outer_polygon")[1])
     return spark.createDataFrame([(k, float(v)) for k, v in report.items()], "name string, value double")
 
-
-@query("delaunay_edges")
-def _(spark, sf):
-    """Edges of each dataset's triangulation."""
-    import numpy as np
-    import pandas as pd
-
-    from ..kernels.delaunay import edges_of, triangulate
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("emitter_idx", kind="stable")
-        tri, _, place = triangulate(pdf[["x", "y"]].to_numpy(float))
-        ids = np.empty(place.max() + 1, np.int64)
-        ids[place[::-1]] = pdf["emitter_idx"].to_numpy()[::-1]
-        e = ids[edges_of(tri)] if len(tri) else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"src": e.min(1) if len(e) else [], "dst": e.max(1) if len(e) else []}, dtype="int64")
-
-    return written(embeddings_cloud(spark, sf).points.groupBy("dataset").applyInPandas(run, "src long, dst long"), "delaunay")
+from . import kernel_queries  # noqa: E402, F401

@@ -45,7 +45,7 @@ def matches_sql(spark, name, sf):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
 def test_whole_boundary_edges_grow_with_the_table(spark):
-    small, large = (len(matches_sql(spark, "boundary_edges_whole", sf)) for sf in (SF, SF.replace("0.001", "0.01")))
+    small, large = (len(matches_sql(spark, "boundary_edges", sf)) for sf in (SF, SF.replace("0.001", "0.01")))
     assert large > 8 * small
 
 
@@ -54,4 +54,4 @@ def test_every_consecutive_triple_has_a_circumradius(spark):
     from stellate.plans import registry
 
     points = registry.QUERIES["scan_embeddings_cloud_3d"](spark, SF)
-    assert len(matches_sql(spark, "circumradius_every", SF)) == points.count() - 2 * points.select("dataset").distinct().count()
+    assert len(matches_sql(spark, "circumradius", SF)) == points.count() - 2 * points.select("dataset").distinct().count()
