@@ -54,21 +54,25 @@ def _named(labels: DataFrame, keys: list[str]) -> DataFrame:
 @label_points.register
 def _(config: DBSCANConfig, ps: PointSet) -> tuple[DataFrame, dict[str, Any]]:
     xs = axes(ps.points, config.use_3d)
-    edges = written(range_join(ps.points, ps.points, config.eps_nm / 1000, xs, config.keys), "eps")
-    raw = L.density_labels(ps.points, edges, config.min_points - 1, config.keys)
+    p = written(ps.points.select(*config.keys, "emitter_idx", *xs), "points")
+    edges = written(range_join(p, p, config.eps_nm / 1000, xs, config.keys), "eps")
+    raw = L.density_labels(p, edges, config.min_points - 1, config.keys)
     return L.compacted(raw, config.min_points, config.keys), {}
 
 
 @label_points.register
 def _(config: PrecisionDBSCANConfig, ps: PointSet) -> tuple[DataFrame, dict[str, Any]]:
     xs = axes(ps.points, config.use_3d)
-    sigma = ps.points.select("emitter_idx", sigma_eff(config.use_3d).alias("sigma"))
+    p = written(ps.points.select(*config.keys, "emitter_idx", *xs, sigma_eff(config.use_3d).alias("sigma")), "points")
+    sigma = p.select("emitter_idx", "sigma")
     top = sigma.agg(F.max("sigma")).first()[0] or 0.0
     if top <= 0:
         raise ValueError("localization uncertainties must be positive")
-    graph = NeighborGraph(ps.points, config.nsigma * 2 * top, xs, config.keys)
-    edges = written(graph.active(sigma, config.nsigma, check_superset=False), "active")
-    raw = L.density_labels(ps.points, edges, config.min_points - 1, config.keys)
+    # both uncertainties ride along, so pairs are tested as they are found and none is kept in vain
+    pairs = range_join(p, p, config.nsigma * 2 * top, xs, config.keys, keep=["sigma"])
+    active = F.col("d") < F.lit(float(config.nsigma)) * (F.col("a_sigma") + F.col("b_sigma"))
+    edges = written(pairs.filter(active).select(*config.keys, "src", "dst", "d"), "active")
+    raw = L.density_labels(p, edges, config.min_points - 1, config.keys)
     return L.compacted(raw, config.min_points, config.keys), {}
 
 

@@ -32,7 +32,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Nodes without edges to others, and roots themselves, have no row.
     """
-    e = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
+    # an edge given in both directions is one
+    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     said = None
     while True:
         new = written(_small_star(_large_star(e)), "stars")

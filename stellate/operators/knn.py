@@ -4,7 +4,9 @@ Each round lays a grid over the queries that still lack an answer; a query takes
 from the 3^D cells around its own. If its k-th candidate is no farther than one cell, nothing
 outside could be nearer and it's done; the others go on with cells twice as wide. The first
 width is set by each group's mean density, so most queries end in the first rounds. A query
-also ends once its cells cover the group's whole extent. Ties go to the smaller index.
+also ends once its cells cover the group's whole extent. Ties go to the smaller index. Both
+sides are written once as narrow tables, so a round reads neither their sources nor what made
+them; tables of a round are deleted with it.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, axes: list[str], key
     """Rows (keys..., src, dst, d, rank): the k nearest points of each query, itself (by index) excluded; all, if fewer."""
     if k < 1:
         raise ValueError(f"k must be >= 1; got {k}")
-    keys = keys or []
+    keys, given = keys or [], points
     group = keys or ["_all"]
-    points = points.select(*keys, "emitter_idx", *axes).withColumn("_all", F.lit(0)) if not keys else points.select(*keys, "emitter_idx", *axes)
-    queries = queries.select(*keys, "emitter_idx", *axes).withColumn("_all", F.lit(0)) if not keys else queries.select(*keys, "emitter_idx", *axes)
+    narrow = lambda df: df.select(*keys, "emitter_idx", *axes, *([] if keys else [F.lit(0).alias("_all")]))
+    points = written(narrow(points), "points")
+    queries = points if queries is given else written(narrow(queries), "queries")
     extent = [F.greatest(F.max(c) - F.min(c), F.lit(1e-12)) for c in axes]
     volume = extent[0]
     for e in extent[1:]:
@@ -49,10 +52,14 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, axes: list[str], key
         done = found if done is None else done.unionByName(found)
         rest = todo.join(sized, group).filter(w < F.col("_e")).select(todo["*"]).join(found.select(*keys, F.col("src").alias("emitter_idx")).distinct(), [*keys, "emitter_idx"], "left_anti")
         rest = written(rest.select(todo.columns), "todo")
+        if todo is not points and todo is not queries:
+            drop_written(todo)
         if not rest.limit(1).count():
-            drop_written(rest)
+            for df in {id(x): x for x in (rest, points, queries, stats)}.values():
+                drop_written(df)
             return done
-        todo, factor = rest, factor * 2
+        # what is left after two rounds is far from most points
+        todo, factor = rest, factor * (2 if factor < 4 else 4)
 
 
 def _offsets(d: int) -> list[list[int]]:
