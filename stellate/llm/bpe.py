@@ -37,7 +37,7 @@ _LOOSE = re.compile(r" \s|\s |\s\Z|\A\s")
 _UNSURE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Letters alone, whose lower case is letters again, and ASCII marks after them: each is one piece to the word tokenizer.
 _CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@\[-`{-~]*)")
-WORDS, CHUNKS, CHUNK_BITS, TOGETHER = 400_000, 20_000, 9, 20_000
+WORDS, CHUNKS, CHUNK_BITS, TOGETHER = 300_000, 20_000, 9, 20_000
 
 
 def packed(ids: list[int]) -> bytes:
@@ -73,16 +73,14 @@ class Kept(dict):
 
     def lacks(self, keys) -> list:
         """The keys that aren't held; those that are will be in this generation."""
-        new, old = [], self.old
-        for k in keys:
-            if k not in self:
-                if k in old:
-                    self[k] = old[k]
-                else:
-                    new.append(k)
+        new = [k for k in keys if k not in self]
+        if self.old and new:
+            found = {k: self.old[k] for k in new if k in self.old}
+            self.update(found)
+            new = [k for k in new if k not in found]
         if len(self) + len(new) > self.most:
-            self.old = dict(self)
             held = {k: self[k] for k in keys if k in self}
+            self.old = dict(self)
             self.clear()
             self.update(held)
         return new
