@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (only where unset) a folder of our own."""
+    """spark.checkpoint.dir, or (only where unset, and all runs on one machine) a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="stellate-ckpt-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
