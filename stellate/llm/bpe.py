@@ -12,10 +12,10 @@ A new chunk's words that no chunk held before are encoded together, in one call
 of documents, and cut apart again: by token bytes for the byte-level tokenizer, by offsets
 for the other one. Chunks with unusual white space go to the tokenizer whole.
 
-Memories live as long as a worker process, over all its tasks, and are bounded by entries: a full
-one becomes the old one, from which what is met again is taken over, so frequent chunks and words
-stay. A chunk that several workers meet is encoded in each; an exchange that brought every chunk
-to one place and its tokens back would move more than it saves (README).
+Memories are Arrow arrays that live as long as a worker process, over all its tasks. They are bounded
+by entries: of a full one those stay that were met again, so frequent chunks and words do. A chunk that
+several workers meet is encoded in each; an exchange that brought every chunk to one place and its
+tokens back would move more than it saves (README).
 
 Defined cases: null and empty texts have no tokens; equal texts have equal tokens; repeated
 rows are encoded each; an empty table gives an empty result; other columns are ignored.
@@ -28,6 +28,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import per_text, table
@@ -37,13 +39,20 @@ _LOOSE = re.compile(r" \s|\s |\s\Z|\A\s")
 _UNSURE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Letters alone, whose lower case is letters again, and ASCII marks after them: each is one piece to the word tokenizer.
 _CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@\[-`{-~]*)")
-WORDS, CHUNKS, CHUNK_BITS, TOGETHER = 300_000, 20_000, 9, 20_000
+WORDS, CHUNKS, CHUNK_BITS, TOGETHER = 600_000, 20_000, 9, 20_000
 
 
 def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def joined(kinds: pa.Array, at: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The values of `kinds` at these places, one after the other, and the borders between them."""
+    got = kinds.take(at)
+    _, borders, data = got.buffers()
+    return memoryview(data if data is not None else b""), np.frombuffer(borders, np.int64)[: len(got) + 1] if len(got) else np.zeros(1, np.int64)
+
+
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -64,34 +73,35 @@ def kept(kind, path: str):
     return _KEPT[kind.__name__, path]
 
 
-class Kept(dict):
-    """A memory of two generations of up to `most` entries each."""
+class Memory:
+    """Ids by text in Arrow arrays. Of more than `most` entries those stay that were met since the last such time, the latest half of `most` at most."""
 
     def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def lacks(self, keys) -> list:
-        """The keys that aren't held; those that are will be in this generation."""
-        new = [k for k in keys if k not in self]
-        if self.old and new:
-            found = {k: self.old[k] for k in new if k in self.old}
-            self.update(found)
-            new = [k for k in new if k not in found]
-        if len(self) + len(new) > self.most:
-            held = {k: self[k] for k in keys if k in self}
-            self.old = dict(self)
-            self.clear()
-            self.update(held)
-        return new
+        self.most, self.keys, self.ids, self.met = most, pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, bool)
+
+    def of(self, keys: pa.Array, learn) -> pa.Array:
+        """Ids of each of these different keys; learn() gives those of a list of keys that aren't held."""
+        at = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        lack = at < 0
+        at[lack] = len(self.keys) + np.arange(lack.sum())
+        if lack.any():
+            new = keys.filter(pa.array(lack))
+            ids = pa.array(learn(new.to_pylist()), pa.large_binary())
+            self.keys, self.ids = pa.concat_arrays([self.keys, new]), pa.concat_arrays([self.ids, ids])
+            self.met = np.r_[self.met, np.ones(len(new), bool)]
+        self.met[at] = True
+        out = self.ids.take(pa.array(at))
+        if len(self.keys) > self.most:
+            stay = pa.array(np.flatnonzero(self.met)[-(self.most // 2) :])
+            self.keys, self.ids, self.met = self.keys.take(stay), self.ids.take(stay), np.zeros(len(stay), bool)
+        return out
 
 
 class WordEncoder:
     """For a tokenizer that drops white space: ids (little-endian 32-bit) of whole texts, word by word."""
 
     def __init__(self, path: str):
-        self.tok, self.words, self.cores = load(path), Kept(WORDS), Kept(WORDS)
-        self.marks: dict[str, bytes] = {}
+        self.tok, self.words, self.cores = load(path), Memory(WORDS), Memory(WORDS)
         suffix = self.tok.model.end_of_word_suffix
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(vocab.values()) + 1, bool)
@@ -100,43 +110,50 @@ class WordEncoder:
     def _whole(self, s: str) -> bytes:
         return packed(self.tok.encode(s, add_special_tokens=False).ids)
 
-    def _learn(self, words: set[str]) -> None:
-        new = self.words.lacks(words)
-        parts, others = [], []
-        for w in new:
+    def _learn(self, new: list[str]) -> list[bytes]:
+        out, parts, others = [b""] * len(new), [], []
+        for i, w in enumerate(new):
             m = _CORE.fullmatch(w)
-            parts.append((w, m[1].lower(), m[2])) if m else others.append(w)
-        self._learn_cores(self.cores.lacks(dict.fromkeys(c for _, c, _ in parts)))
-        for w, core, marks in parts:
-            if marks and marks not in self.marks:
-                self.marks[marks] = self._whole(marks)
-            self.words[w] = self.cores[core] + self.marks[marks] if marks else self.cores[core]
+            if m:
+                parts.append((i, m[1].lower(), m[2]))
+            elif w:
+                others.append(i)
+        names = list(dict.fromkeys(c for _, c, _ in parts))
+        cores = dict(zip(names, self.cores.of(pa.array(names, pa.large_string()), self._learn_cores).to_pylist(), strict=True))
+        marks = {m: self._whole(m) for m in {m for _, _, m in parts}}
+        for i, core, m in parts:
+            out[i] = cores[core] + marks[m] if m else cores[core]
         for a in range(0, len(others), TOGETHER):
-            some = others[a : a + TOGETHER]
+            some = [new[i] for i in others[a : a + TOGETHER]]
             got = self.tok.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             starts = np.fromiter((x for x, _ in got.offsets), np.int64, len(ids))
             at = np.searchsorted(starts, np.r_[0, np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)])
-            for w, x, y in zip(some, at.tolist(), at[1:].tolist(), strict=False):
-                self.words[w] = ids[x:y].tobytes()
+            for i, x, y in zip(others[a : a + TOGETHER], at.tolist(), at[1:].tolist(), strict=False):
+                out[i] = ids[x:y].tobytes()
+        return out
 
-    def _learn_cores(self, cores: list[str]) -> None:
+    def _learn_cores(self, new: list[str]) -> list[bytes]:
         """Words that are one piece each, so each ends at a token that ends a word."""
-        for a in range(0, len(cores), TOGETHER):
-            some = cores[a : a + TOGETHER]
+        out = []
+        for a in range(0, len(new), TOGETHER):
+            some = new[a : a + TOGETHER]
             ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
+            ends = ((np.flatnonzero(self.closing[ids]) + 1) * 4).tolist()
             if len(ends) != len(some):
                 raise RuntimeError("the tokenizer cut a word of letters")
-            data, x = ids.tobytes(), 0
-            for c, y in zip(some, ends, strict=True):
-                self.cores[c] = data[4 * x : 4 * y]
-                x = y
+            data = ids.tobytes()
+            out += [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _UNSURE_SPACE.search(t) else t.split() for t in texts]
-        self._learn({w for c in cut if c for w in c})
-        return [self._whole(t) if c is None else b"".join(map(self.words.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        """Words are cut, told apart and replaced by their ids in Arrow arrays; Python sees each different word once."""
+        odd = [_UNSURE_SPACE.search(t) is not None for t in texts]
+        cut = pc.ascii_split_whitespace(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.large_string()))
+        words = cut.values.dictionary_encode()
+        data, ends = joined(self.words.of(words.dictionary, self._learn), words.indices)
+        at = ends[np.asarray(cut.offsets)].tolist()
+        return [self._whole(t) if o else bytes(data[x:y]) for t, o, x, y in zip(texts, odd, at, at[1:], strict=False)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -148,7 +165,7 @@ class ChunkEncoder:
     def __init__(self, path: str, bits: int = CHUNK_BITS):
         self.tok, self.mask = load(path), np.uint64((1 << bits) - 1)
         special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
-        self.words, self.chunks = Kept(WORDS), Kept(CHUNKS)
+        self.words, self.chunks = Memory(WORDS), Memory(CHUNKS)
         self.joins = self.repaired = 0
         vocab = self.tok.get_vocab(with_added_tokens=True)
         shown = {c: b for b, c in _shown_bytes().items()}
@@ -156,22 +173,22 @@ class ChunkEncoder:
         for s, i in vocab.items():
             self.bytes_of[i] = s.encode() if s in special else bytes(shown[c] for c in s)
         self.length = np.array(list(map(len, self.bytes_of)), np.int64)
+        self.arrow_bytes = pa.array(self.bytes_of, pa.large_binary())
 
     def _whole(self, s: str) -> bytes:
         return packed(self.tok.encode(s, add_special_tokens=False).ids)
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, new: list[str]) -> list[bytes]:
         """Words as they stand after a space."""
-        new = self.words.lacks(words)
+        out = []
         for a in range(0, len(new), TOGETHER):
-            some = [" " + w for w in new[a : a + TOGETHER]]
-            ids = np.array(self.tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(w.encode()) for w in some), np.int64, len(some)))
-            at = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
-            x = 0
-            for w, y in zip(some, at.tolist(), strict=True):
-                self.words[w[1:]] = ids[x:y].tobytes()
-                x = y
+            text = " " + " ".join(new[a : a + TOGETHER])
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.r_[np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)[1:], len(text.encode())]
+            at = ((np.searchsorted(np.cumsum(self.length[ids]), ends) + 1) * 4).tolist()
+            data = ids.tobytes()
+            out += [data[x:y] for x, y in zip([0, *at], at, strict=False)]
+        return out
 
     def cut(self, text: str) -> list[str]:
         """Content-defined chunks: cuts before spaces between ASCII letters or marks where a hash of the 8 bytes before is small in its low bits."""
@@ -196,25 +213,40 @@ class ChunkEncoder:
     def _by_words(chunk: str) -> bool:
         return chunk.startswith(" ") and not _LOOSE.search(chunk[1:]) and not _UNSURE_SPACE.search(chunk)
 
+    def _learn_chunks(self, new: list[str]) -> list[bytes]:
+        out = [b""] * len(new)
+        plain, whole = [], []
+        for i, c in enumerate(new):
+            (plain if self._by_words(c) else whole).append(i)
+        cut = pc.split_pattern(pa.array([new[i][1:] for i in plain], pa.large_string()), " ")
+        words = cut.values.dictionary_encode()
+        data, ends = joined(self.words.of(words.dictionary, self._learn), words.indices)
+        at = ends[np.asarray(cut.offsets)].tolist()
+        for i, x, y in zip(plain, at, at[1:], strict=False):
+            out[i] = bytes(data[x:y])
+        for i, e in zip(whole, self.tok.encode_batch_fast([new[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = packed(e.ids)
+        return out
+
+    def _sides(self, sides: list[str]) -> list[bytes]:
+        """First and last words of chunks on their own: those that are a space and a word, from the words' memory."""
+        # different sides are different words
+        word = [i for i, s in enumerate(sides) if s.startswith(" ") and " " not in s[1:] and self._by_words(s)]
+        out = dict(zip(word, self.words.of(pa.array([sides[i][1:] for i in word], pa.large_string()), self._learn).to_pylist(), strict=True))
+        rest = [i for i in range(len(sides)) if i not in out]
+        out |= zip(rest, (packed(e.ids) for e in self.tok.encode_batch_fast([sides[i] for i in rest], add_special_tokens=False)), strict=True)
+        return [out[i] for i in range(len(sides))]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) if t else [] for t in texts]
-        chunks = {c for cs in cut for c in cs}
-        new = self.chunks.lacks(chunks)
-        plain, whole = [], []
-        for c in new:
-            (plain if self._by_words(c) else whole).append(c)
-        split = [c[1:].split(" ") for c in plain]
-        self._learn({w for ws in split for w in ws})
-        for c, ws in zip(plain, split, strict=True):
-            self.chunks[c] = b"".join(map(self.words.__getitem__, ws))
-        for c, e in zip(whole, self.tok.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self.chunks[c] = packed(e.ids)
+        chunks = list(dict.fromkeys(c for cs in cut for c in cs))
+        ids = dict(zip(chunks, self.chunks.of(pa.array(chunks, pa.large_string()), self._learn_chunks).to_pylist(), strict=True))
         ends = {c: self._ends(c) for c in chunks}
         seams = sorted({ends[a][1] + ends[b][0] for cs in cut for a, b in zip(cs, cs[1:], strict=False)})
         seam = {s: packed(e.ids) for s, e in zip(seams, self.tok.encode_batch_fast(seams, add_special_tokens=False), strict=True)}
-        sides = sorted({x for e in ends.values() for x in e})
-        side = {s: packed(e.ids) for s, e in zip(sides, self.tok.encode_batch_fast(sides, add_special_tokens=False), strict=True)}
-        return [self._joined(cs, ends, seam, side) for cs in cut]
+        sides = sorted({x for cs in cut for a, b in zip(cs, cs[1:], strict=False) for x in (ends[a][1], ends[b][0])})
+        side = dict(zip(sides, self._sides(sides), strict=True))
+        return [self._joined(cs, ids, ends, seam, side) for cs in cut]
 
     @staticmethod
     def _safe(c: str, i: int) -> bool:
@@ -237,12 +269,12 @@ class ChunkEncoder:
             tail = c.rfind(" ", 0, tail) if tail > 0 else tail
         return (c[:head] if head > 0 else c), (c[tail:] if tail > 0 else c)
 
-    def _joined(self, cs: list[str], ends: dict, seam: dict, side: dict) -> bytes:
+    def _joined(self, cs: list[str], ids: dict, ends: dict, seam: dict, side: dict) -> bytes:
         if not cs:
             return b""
-        parts, left, a = [], cs[0], self.chunks[cs[0]]
+        parts, left, a = [], cs[0], ids[cs[0]]
         for right in cs[1:]:
-            b = self.chunks[right]
+            b = ids[right]
             self.joins += 1
             h, t = ends[right][0], (ends[left] if left in ends else self._ends(left))[1]
             x, y = (side[t] if t in side else self._whole(t)), side[h]
@@ -269,7 +301,7 @@ class ChunkEncoder:
 
     def decode(self, ids: bytes) -> str:
         """As decode(ids, skip_special_tokens=False): the tokens' bytes, invalid sequences replaced."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return bytes(joined(self.arrow_bytes, pa.array(np.frombuffer(ids, "<u4")))[0]).decode("utf-8", "replace")
 
 
 def _shown_bytes() -> dict[int, str]:

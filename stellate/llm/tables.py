@@ -18,6 +18,21 @@ def batches_of(batches, rows: int = 256):
             yield b.slice(a, rows)
 
 
+def slices_of(batches, text: int, rows: int = 1024, size: int = 1 << 22):
+    """Arrow batches of few rows and few bytes of text (column number `text`), but one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(b.column(text)).fill_null(0)), dtype=np.int64)
+        a = 0
+        while a < b.num_rows:
+            z = int(np.searchsorted(ends, size + (int(ends[a - 1]) if a else 0), "right"))
+            z = min(max(z, a + 1), a + rows)
+            yield b.slice(a, z - a)
+            a = z
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that df doesn't have (in any case), one for each stem."""
     held = {c.lower() for c in df.columns}
@@ -49,7 +64,7 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make, text: str = "tex
 
         kinds = [to_arrow_type(f.dataType) for f in added.fields]
         fn = make()
-        for b in batches_of(batches):
+        for b in slices_of(batches, len(keep)) if together else batches_of(batches):
             texts = [t or "" for t in b.column(len(keep)).to_pylist()]
             rows = fn(texts) if together else [fn(t) for t in texts]
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 pytest.importorskip("stellate.llm")
 from stellate.llm import bpe, license_scan, order_minhash, packing, quality, secret_scan, sharding, simhash, suffix_dedup  # noqa: E402
 
+from stellate.llm.tables import slices_of  # noqa: E402
+
 from .conftest import prose, rows, same  # noqa: E402
 
 vocab = pytest.importorskip("public_tokenizers")
@@ -218,7 +220,26 @@ def test_memories_stay_small_and_whole(monkeypatch):
         texts = [prose(i, 300), prose(i // 2, 300)]
         for e in (e7, e5):
             assert e.encode_all(texts) == [bpe.packed(e.tok.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert len(e7.chunks.old) < 200 and len(e5.words.old) < 2000
+    assert len(e7.chunks.keys) <= 5 and len(e7.words.keys) <= 40 and len(e5.words.keys) <= 40 and len(e5.cores.keys) <= 40
+
+
+def test_encoders_on_odd_texts():
+    rng = random.Random(5)
+    marks = ["a", "Été", "the", "don't", "9", "x!?", "漢字", "ß", "İ", "😀", "é", "<|endoftext|>", "--", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "\ufeff", "\x00"]
+    texts = ["", " ", "\x1c", *("".join(rng.choices(marks, k=rng.randrange(1, 400))) for _ in range(150)), *(" ".join(rng.choices(marks[:13], k=rng.randrange(1, 400))) for _ in range(150))]
+    for e in (bpe.ChunkEncoder(vocab.path("byte_bpe_50k.json"), 4), bpe.WordEncoder(vocab.path("word_bpe_49k.json"))):
+        want = [bpe.packed(e.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert e.encode_all(texts) == want and e.encode_all(texts[::-1]) == want[::-1]
+
+
+def test_slices_by_rows_and_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * 10, None, "", "y" * 100, "é" * 30, "z"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])
+    got = [s.column(0).to_pylist() for s in slices_of([b, b.slice(6)], 1, size=61)]
+    assert got == [[0, 1, 2], [3], [4, 5]]
+    assert [s.num_rows for s in slices_of([b], 1, rows=4, size=1 << 20)] == [4, 2]
 
 
 # ---- packing ----
