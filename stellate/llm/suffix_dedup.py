@@ -49,8 +49,8 @@ from .tables import batches_of, drop_written, fresh, release, table, written
 THRESHOLD, KMER, HOT, PIECE, MOST = 200, 32, 1_000_000, 16, 1 << 15
 #: Windows sorted at a time, if groups are smaller.
 AT_ONCE = 100_000
-#: Bytes hashed at a time; a longer text is cut into overlapping segments.
-SEGMENT = 1 << 20
+#: Bytes hashed at a time (or four thresholds), so that sums stay in a core's cache; a longer text is cut into overlapping segments.
+SEGMENT = 1 << 16
 _PLACE = np.uint64((1 << 21) - 1)
 
 
@@ -203,9 +203,10 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", t
     rows = docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("body"), *_name(text)).filter(F.col("nb") >= threshold)
 
     def first_digits(batches):
-        hasher = Hasher(SEGMENT + 2 * threshold)
+        segment = max(SEGMENT, 4 * threshold)
+        hasher = Hasher(segment + 2 * threshold)
         for b in batches_of(batches):
-            r = all_runs([x.encode() for x in b.column(2).to_pylist()], hasher, threshold, SEGMENT)
+            r = all_runs([x.encode() for x in b.column(2).to_pylist()], hasher, threshold, segment)
             t, nb = (b.column(i).to_numpy(zero_copy_only=False)[r["text"]] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(nb), *(pa.array(r[c].astype(np.int32)) for c in ("first", "many", "anchor")), pa.array(r["h"]), pa.array(r["f"])], names=["t", "nb", "first", "many", "anchor", "h", "f"])
 
