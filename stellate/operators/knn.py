@@ -2,8 +2,9 @@
 
 Each round lays a grid over the queries that still lack an answer; a query takes candidates
 from the 3^D cells around its own. If its k-th candidate is no farther than one cell, nothing
-outside could be nearer and it's done; the others go on with cells twice as wide. The first
-width is set by each group's mean density, so most queries end in the first rounds. A query
+outside could be nearer and it's done; the others go on with wider cells. The first
+width is set by each group's mean density between outer quantiles of each axis, so far points
+don't widen it and most queries end in the first rounds. A query
 also ends once its cells cover the group's whole extent. Ties go to the smaller index. Both
 sides are written once as narrow tables, so a round reads neither their sources nor what made
 them; tables of a round are deleted with it.
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from .range_join import squared_distance
 from .shared import drop_written, written
 
+#: Share of points beyond the quantiles on either side, and the number of open queries that take wide steps.
+TAIL, FEW = 0.02, 1000
+
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, axes: list[str], keys: list[str] | None = None) -> DataFrame:
     """Rows (keys..., src, dst, d, rank): the k nearest points of each query, itself (by index) excluded; all, if fewer."""
@@ -27,14 +31,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, axes: list[str], key
     narrow = lambda df: df.select(*keys, "emitter_idx", *axes, *([] if keys else [F.lit(0).alias("_all")]))
     points = written(narrow(points), "points")
     queries = points if queries is given else written(narrow(queries), "queries")
-    extent = [F.greatest(F.max(c) - F.min(c), F.lit(1e-12)) for c in axes]
-    volume = extent[0]
-    for e in extent[1:]:
-        volume = volume * e
-    stats = points.groupBy(*group).agg(F.count("*").alias("_n"), volume.alias("_v"), F.greatest(*extent).alias("_e"))
-    # 3^D cells of this width hold about k + 1 points at the group's mean density
-    width = F.least(F.greatest(F.pow(F.col("_v") * (k + 1) / F.col("_n"), F.lit(1.0 / len(axes))) / 2, F.col("_e") / 1e6), F.col("_e") * 1.01)
-    stats = written(stats.select(*group, "_e", width.alias("_w")), "extent")
+    stats = written(_widths(points, k, axes, group), "extent")
     todo, done, factor = queries, None, 1.0
     small = stats.limit(10_001).count() <= 10_000
     sized = F.broadcast(stats) if small else stats
@@ -54,12 +51,31 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, axes: list[str], key
         rest = written(rest.select(todo.columns), "todo")
         if todo is not points and todo is not queries:
             drop_written(todo)
-        if not rest.limit(1).count():
+        left = rest.limit(FEW + 1).count()
+        if not left:
             for df in {id(x): x for x in (rest, points, queries, stats)}.values():
                 drop_written(df)
             return done
-        # what is left after two rounds is far from most points
-        todo, factor = rest, factor * (2 if factor < 4 else 4)
+        # what is left after two rounds is far from most points; a few far queries take wide steps, as each round reads all points
+        todo, factor = rest, factor * (2 if factor < 4 else 4 if left > FEW else 64)
+
+
+def _widths(points: DataFrame, k: int, axes: list[str], group: list[str]) -> DataFrame:
+    """Rows (group..., _e, _w): each group's whole extent and the width of its first cells."""
+    whole = [F.max(c) - F.min(c) for c in axes]
+    reach = F.greatest(*[F.max(F.abs(c)) for c in axes], F.lit(0.0))
+    tails = [F.percentile_approx(c, [TAIL, 1 - TAIL], 1000) for c in axes]
+    stats = points.groupBy(*group).agg(F.count("*").alias("_n"), F.greatest(*whole, F.lit(1e-12)).alias("_e"), reach.alias("_r"), *[w.alias(f"_s{i}") for i, w in enumerate(whole)], *[t.alias(f"_t{i}") for i, t in enumerate(tails)])
+    # an axis whose middle is one value counts whole
+    middle = [F.when(F.col(f"_t{i}")[1] > F.col(f"_t{i}")[0], F.col(f"_t{i}")[1] - F.col(f"_t{i}")[0]).otherwise(F.greatest(f"_s{i}", F.lit(1e-12))) for i in range(len(axes))]
+    volume = middle[0]
+    for m in middle[1:]:
+        volume = volume * m
+    # 3^D cells of this width hold about k + 1 points at that density
+    width = F.pow(volume * (k + 1) / F.col("_n"), F.lit(1.0 / len(axes))) / 2
+    # numbers of cells stay far within the digits of a double
+    floor = F.greatest(F.greatest(*middle, F.lit(0.0)) / 1e6, F.col("_r") / 1e12)
+    return stats.select(*group, "_e", F.least(F.greatest(width, floor), F.col("_e") * 1.01).alias("_w"))
 
 
 def _offsets(d: int) -> list[list[int]]:

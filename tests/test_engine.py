@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from stellate import api, configs as C
 from stellate.backends import edges as E
 from stellate.operators.components import components
-from stellate.operators.knn import knn_join
+from stellate.operators.knn import _widths, knn_join
 from stellate.operators.range_join import NeighborGraph, range_join
 from stellate.points import from_vectors, point_set
 from stellate.sources import artifacts
@@ -37,6 +37,19 @@ def test_knn_join_is_exact_with_gaps_and_ties(spark):
         assert [got[i][k] for k in range(1, 5)] == np.lexsort((np.arange(len(x)), d[i]))[:4].tolist()
 
 
+def test_far_points_do_not_widen_the_first_cells(spark):
+    x = np.r_[R.random((200, 2)), [[1e9, -1e9], [1e9, -1e9 + 3]]]
+    near, far = (from_vectors(spark, p[:, 0], p[:, 1]).points.withColumn("g", F.lit(0)) for p in (x[:200], x))
+    narrow, wide = (_widths(p, 3, ["x", "y"], ["g"]).first()["_w"] for p in (near, far))
+    assert wide < 2 * narrow
+    got = {(r["src"], r["rank"]): r["dst"] for r in knn_join(far, far, 3, ["x", "y"]).collect()}
+    d = ((x[:, None] - x) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == 3 * len(x)
+    for i in range(len(x)):
+        assert sorted(d[i][[got[i + 1, k] - 1 for k in (1, 2, 3)]]) == sorted(d[i])[:3]
+
+
 def test_knn_join_of_few_points(spark):
     ps = from_vectors(spark, [0, 1, 5], [0, 0, 0])
     assert knn_join(ps.points, ps.points, 9, ["x", "y"]).count() == 6
