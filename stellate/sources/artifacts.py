@@ -35,8 +35,18 @@ def _json(path: str, v: Any) -> None:
         f.write(json.dumps(plain(v), sort_keys=True, indent=2) + "\n")
 
 
+def rounded(v: float, digits: int) -> float:
+    """v scaled, rounded half away from zero and scaled back, as in SQL; round() goes by v's own decimals, which differ for what is a half after scaling."""
+    scaled = v * 10.0**digits
+    if not math.isfinite(scaled):
+        return v
+    whole = math.trunc(scaled)
+    # the difference is exact
+    return math.copysign((abs(whole) + (abs(scaled - whole) >= 0.5)) / 10.0**digits, v)
+
+
 def _number(v: float, digits: int) -> str:
-    return "NaN" if math.isnan(v) else str(round(v, digits))
+    return "NaN" if math.isnan(v) else str(rounded(v, digits))
 
 
 def provenance(root: str) -> tuple[str, bool]:
@@ -62,11 +72,11 @@ def write_edge_artifacts(leaf: str, info: EdgeInfo, condition: str, cell: str, i
         f.write(f"# schema_version: {VERSIONS['classified.tsv']}\n# condition: {condition}\n# cell: {cell}\n# n_emitters: {info.points.count()}\n# coord_units: um\n")
         f.write("emitter_id\tx_um\ty_um\tclass\tinside_outer\tin_cell\tdist_to_outer_um\n")
         for i, r in enumerate(points.toLocalIterator(), 1):
-            f.write(f"{i}\t{round(r[0], 6)}\t{round(r[1], 6)}\t{r[2]}\t{int(r[3])}\t{int(r[2] != 'outside')}\t{_number(r[4], 6)}\n")
+            f.write(f"{i}\t{rounded(r[0], 6)}\t{rounded(r[1], 6)}\t{r[2]}\t{int(r[3])}\t{int(r[2] != 'outside')}\t{_number(r[4], 6)}\n")
     with open(at("polygon_loops.tsv"), "w") as f:
         f.write(f"# schema_version: {VERSIONS['polygon_loops.tsv']}\n# alpha_nm: {round(info.config.alpha_nm)}\n# loop_count: {len(info.loops)}\nloop_id\tvertex_id\tx_um\ty_um\n")
         for i, loop in enumerate(info.loops, 1):
-            f.writelines(f"{i}\t{j}\t{round(x, 6)}\t{round(y, 6)}\n" for j, (x, y) in enumerate(loop, 1))
+            f.writelines(f"{i}\t{j}\t{rounded(x, 6)}\t{rounded(y, 6)}\n" for j, (x, y) in enumerate(loop, 1))
     digits = {"area_um2": 4, "frac_in_fov": 4, "frac_dense": 4, "median_rhoK": 2}
     columns = ("loop_id", "vertex_count", "area_um2", "n_emitters_inside", "frac_in_fov", "frac_dense", "median_rhoK", "used_in_outer", "heuristic_type")
     with open(at("loop_diagnostics.csv"), "w") as f:

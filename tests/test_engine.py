@@ -182,3 +182,12 @@ def test_edge_errors(spark):
         api.classify_emitters(same, C.OuterPolygonConfig(k_list=(2,), rho_k_thresh=0))
     with pytest.raises(ValueError):
         api.classify_emitters(from_vectors(spark, [1.0], [1.0]), C.OuterPolygonConfig())
+
+
+def test_numbers_of_artifacts_are_rounded_as_in_sql():
+    import duckdb
+
+    at = 1704067200000000 + 1632566318400  # a half after scaling, and less than it in decimals
+    values = [18.8954435, at / 86400000000.0 - 19723 + 0.0, -18.8954435, 0.0000005, 2.5e-7, 0.49999999999999994e-6, -0.0, 1e300, *(k / 16 + 5e-7 for k in range(200))]
+    want = [duckdb.execute("select round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    assert [artifacts.rounded(v, 6) for v in values] == want and want[0] != round(values[0], 6)
