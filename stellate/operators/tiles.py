@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..kernels.near import Near
 from .shared import drop_written, written
@@ -84,6 +85,39 @@ def by_tiles(rows: DataFrame, radius: float, axes: list[str], keys: list[str], k
     return dealt.mapInArrow(_runner(axes, group, ts, width, radius, kernel, pa_schema(schema)), schema)
 
 
+def near_sums(queries: DataFrame, points: DataFrame, radius: float, axes: list[str], terms: list[str], sigma: float | None = None) -> DataFrame:
+    """Rows (axes..., m, terms...): for each place of queries that has any, the number of points in the radius, and sums over them; copies at the place itself count, and so does the point itself if it is one of them.
+
+    Terms: `kernel` (exp(-d^2 / (2 sigma^2))), or `d_x` and the like (the neighbour's coordinate less the query's).
+    """
+    a = queries.groupBy(*axes).agg(F.min("emitter_idx").alias("site")).select(*axes, "site", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asks"))
+    if queries is points:
+        rows = sites(points.select("emitter_idx", *axes), axes, []).drop("_own").withColumn("asks", F.lit(True))
+    else:
+        rows = a.unionByName(sites(points.select("emitter_idx", *axes), axes, []).drop("_own").withColumn("asks", F.lit(False)))
+    rows = written(rows, "sites")
+    schema = T.StructType([*(T.StructField(c, T.DoubleType()) for c in axes), T.StructField("m", T.LongType()), *(T.StructField(t, T.DoubleType()) for t in terms)])
+
+    def run(cols, ask, near):
+        size, n, counts = len(near.x), np.zeros(len(near.x)), cols["n"].astype(float)
+        sums = {t: np.zeros(size) for t in terms}
+        for i, j, d2 in near.pairs(ask):
+            w = counts[j]
+            # i comes in runs; sums over few places are cheap
+            low, high = (int(i.min()), int(i.max()) + 1) if len(i) else (0, 0)
+            n[low:high] += np.bincount(i - low, w, high - low)
+            for t in terms:
+                if t == "kernel":
+                    v = np.exp(d2 * (-1 / (2 * sigma * sigma)))
+                else:
+                    axis = near.x[:, axes.index(t[2:])]
+                    v = axis[j] - axis[i]
+                sums[t][low:high] += np.bincount(i - low, w * v, high - low)
+        yield {c: near.x[ask, k] for k, c in enumerate(axes)} | {"m": n[ask].astype(np.int64)} | {t: sums[t][ask] for t in terms}
+
+    return by_tiles(rows, radius, axes, [], run, schema, "asks")
+
+
 def picked(column, at: np.ndarray):
     """Values of a kernel's column."""
     return column[at] if isinstance(column, np.ndarray) else column.take(pa.array(at))

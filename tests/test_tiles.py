@@ -108,3 +108,23 @@ def test_pairs_of_copies_are_not_moved(spark):
     p = spark.range(4000).select(F.col("id").alias("emitter_idx"), (F.col("id") % 40 / 1000.0).alias("x"), F.lit(0.0).alias("y"))
     rooted = L.range_roots(p, 0.01, ["x", "y"], [], 4)
     assert rooted.count() == 40 and {r["root"] for r in rooted.collect()} == {0} and rooted.agg(F.sum("n")).first()[0] == 4000
+
+
+def test_sums_over_copies_are_those_by_definition(spark, slices):
+    from stellate.backends import edges as E
+
+    x, ps = cloud(spark, 4)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    near = d <= 0.3
+    k = np.where(near, np.exp(-d * d / 0.02), 0)
+    want = (k.sum(1) - 1) / (2 * np.pi * 0.01)
+    got = [r["rho"] for r in E.kde_density(ps.points, 0.1, 0.3 / 0.1).orderBy("emitter_idx").collect()]
+    assert np.allclose(got, want, rtol=1e-9)
+    n = near.sum(1) - 1
+    held = {r["emitter_idx"] - 1 for r in E.core_gate(ps.points, 0.3, 0.8).collect()}
+    assert held == set(np.flatnonzero(n >= 0.8 * np.median(n)))
+    some = ps.points.filter("emitter_idx % 3 = 0").select("emitter_idx", "x", "y")
+    sums = {(r["x"], r["y"]): (r["m"], r["d_x"], r["d_y"]) for r in tiles.near_sums(some, ps.points, 0.3, ["x", "y"], ["d_x", "d_y"]).collect()}
+    for i in range(2, len(x), 3):
+        m, sx, sy = sums[tuple(x[i])]
+        assert m == near[i].sum() and np.allclose([sx, sy], (x[near[i]] - x[i]).sum(0), atol=1e-9)
