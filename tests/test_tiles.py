@@ -7,7 +7,7 @@ from stellate.backends import labeling
 from stellate.operators import labels as L
 from stellate.operators import tiles
 from stellate.operators.range_join import NeighborGraph, range_join
-from stellate.points import from_vectors
+from stellate.points import from_vectors, point_set
 
 R = np.random.default_rng(8)
 
@@ -141,3 +141,17 @@ def test_kth_distances_count_copies_but_not_the_point_itself(spark, slices):
     some = p.filter("emitter_idx <= 10").withColumn("emitter_idx", -F.col("emitter_idx")).select("emitter_idx", "x", "y")
     two = {(r["x"], r["y"]): r["d4"] for r in tiles.kth_distances(some, p, [4], ["x", "y"], False).collect()}
     assert two == {tuple(x[i]): d[i, 3] for i in range(10)}
+
+
+#: What is asked of 20,000 points at one place and three apart: pairs of copies alone would be 4 * 10^8 rows.
+OF_COPIES = {
+    "cluster_sizes": (lambda ps, info: L.cluster_sizes(ps.points, ["dataset"]), False, [(1, 1, 20_000)]),
+}
+
+
+@pytest.mark.parametrize("name", OF_COPIES)
+def test_many_copies(spark, name):
+    ask, removed, want = OF_COPIES[name]
+    p = spark.range(20_003).select(F.col("id").alias("emitter_idx"), F.greatest(F.col("id") - 19_999, F.lit(0)).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = ask(*api.cluster(point_set(p), C.DBSCANConfig(eps_nm=100, remove_unclustered=removed)))
+    assert [tuple(r) for r in got.collect()] == want
