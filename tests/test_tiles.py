@@ -146,6 +146,7 @@ def test_kth_distances_count_copies_but_not_the_point_itself(spark, slices):
 #: What is asked of 20,000 points at one place and three apart: pairs of copies alone would be 4 * 10^8 rows.
 OF_COPIES = {
     "cluster_sizes": (lambda ps, info: L.cluster_sizes(ps.points, ["dataset"]), False, [(1, 1, 20_000)]),
+    "cluster_info": (lambda ps, info: info.summary.select("n_locs_in", "n_clustered", "n_noise", "n_clusters"), False, [(20_003, 20_000, 3, 1)]),
 }
 
 
