@@ -147,6 +147,7 @@ def test_kth_distances_count_copies_but_not_the_point_itself(spark, slices):
 OF_COPIES = {
     "cluster_sizes": (lambda ps, info: L.cluster_sizes(ps.points, ["dataset"]), False, [(1, 1, 20_000)]),
     "cluster_info": (lambda ps, info: info.summary.select("n_locs_in", "n_clustered", "n_noise", "n_clusters"), False, [(20_003, 20_000, 3, 1)]),
+    "dbscan_remove_unclustered": (lambda ps, info: ps.points.groupBy("id").agg(F.count("*"), F.max("emitter_idx")), True, [(1, 20_000, 19_999)]),
 }
 
 
