@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -121,3 +123,25 @@ def test_hdbscan_two_blobs_and_bridges():
         assert len({*labels[:60]} - {0}) >= 1 and not ({*labels[:60]} & {*labels[60:]}) - {0}
     none = np.empty(0, int)
     assert not trees.hdbscan(x[:3], none, none, np.empty(0), np.ones(3), 5)[0].any()
+
+
+def test_distances_to_many_segments_and_rings_are_those_by_definition():
+    r = np.random.default_rng(4)
+    t = np.sort(r.random(3000)) * 2 * np.pi
+    x, y = np.round(r.normal(size=(2, 4000)), 2)
+    began = time.time()
+    for ring in ([(5 * np.cos(a), 5 * np.sin(a)) for a in t], [(round(np.cos(a), 1), round(np.sin(a), 1)) for a in t[::50]]):
+        ring = [(float(a), float(b)) for a, b in ring]
+        s = rings.segments([ring])
+        d, which = rings.segment_distance(x, y, s)
+        odd = np.zeros(len(x), bool)
+        for ax, ay, bx, by in s:
+            if ay != by:
+                odd ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+        assert (rings.inside(x, y, ring) == odd).all()
+        for i in range(0, len(x), 40):
+            p, u = np.array([x[i], y[i]]) - s[:, :2], s[:, 2:] - s[:, :2]
+            n = (u * u).sum(1)
+            e = np.hypot(*(p - np.clip(np.where(n > 0, (p * u).sum(1) / np.where(n > 0, n, 1), 0), 0, 1)[:, None] * u).T)
+            assert d[i] == e.min() and which[i] == e.argmin()
+    assert time.time() - began < 20

@@ -157,3 +157,17 @@ def test_many_copies(spark, name):
     p = spark.range(20_003).select(F.col("id").alias("emitter_idx"), F.greatest(F.col("id") - 19_999, F.lit(0)).cast("double").alias("x"), F.lit(0.0).alias("y"))
     got = ask(*api.cluster(point_set(p), C.DBSCANConfig(eps_nm=100, remove_unclustered=removed)))
     assert [tuple(r) for r in got.collect()] == want
+
+
+def test_places_are_classified_once(spark, monkeypatch):
+    """Kernels get distinct places, and not each of their copies."""
+    from stellate.backends import edges as E
+
+    p = spark.range(9000).select(F.col("id").alias("emitter_idx"), (F.col("id") % 30 + 0.5).alias("x"), (F.floor(F.col("id") / 30) % 10 + 0.5).alias("y"))
+    given = E.places(p, ["x", "y"])
+    assert given.count() == 300 and given.agg(F.sum("n")).first()[0] == 9000
+    mask = [{"outer": [(5.0, 2.0), (25.0, 2.0), (25.0, 8.0), (5.0, 8.0)], "holes": []}]
+    got = E.labelled(p.unionByName(spark.createDataFrame([(9000, None, 1.0)], p.schema)), mask, 1.0, (0.0, 30.0, 0.0, 10.0), 0.1, dict.fromkeys("LRBT", False))
+    assert {r["class"]: r["count"] for r in got.groupBy("class").count().collect()} == {"outside": 5401, "membrane": 30 * 48, "interior": 30 * 72}
+    loops = E.loop_diagnostics(p, [mask[0]["outer"]], mask, (0.0, 30.0, 0.0, 10.0), 1.0)
+    assert [d["n_emitters_inside"] for d in loops] == [3600]
