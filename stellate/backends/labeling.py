@@ -23,6 +23,7 @@ from ..operators import labels as L
 from ..operators.knn import knn_join
 from ..operators.range_join import NeighborGraph
 from ..operators.shared import written
+from ..operators.tiles import kth_distances
 from ..points import PointSet, axes
 
 
@@ -44,6 +45,14 @@ def _with_knn(points: DataFrame, keys: list[str], k: int, xs: list[str], columns
     return g, near
 
 
+def _with_kth(g: DataFrame, k: int) -> DataFrame:
+    """g with far, the distance to the k-th other point of the group; null if there are fewer. Copies are one site with a count."""
+    p = written(g, "points")
+    d = kth_distances(p, p, [k], ["x", "y"], True, ["g"]).select(*[F.col(c).alias(f"_{c}") for c in ("g", "x", "y")], F.col(f"d{k}").alias("far"))
+    same = [F.col(c) == F.col(f"_{c}") for c in ("g", "x", "y")]
+    return written(p.join(d, same, "left").select(*g.columns, "far"), "far")
+
+
 LABELS = "g int, emitter_idx long, label int"
 
 
@@ -164,15 +173,13 @@ def regime_labels(pdf: pd.DataFrame, edges: pd.DataFrame | None, config: MRFDens
         if config.density_estimator == "voronoi":
             with np.errstate(divide="ignore"):
                 density = np.where(area > 0, 1 / area, np.nan)
+    if config.density_estimator == "knn":
+        far = pdf["far"].to_numpy(float)
+        at = far > 0
+        density[at] = config.density_k / (np.pi * far[at] ** 2)
     if edges is not None and len(edges):
-        src, dst, d = _edges(pdf, edges)
-        rank = edges.sort_values(["src", "rank"], kind="stable")["rank"].to_numpy()
-        if config.density_estimator == "knn" and n > config.density_k:
-            at = (rank == config.density_k) & (d > 0)
-            density[src[at]] = config.density_k / (np.pi * d[at] ** 2)
-        if config.graph_kind == "knn":
-            at = rank <= config.graph_k
-            pairs = np.unique(np.sort(np.column_stack([src[at], dst[at]]), axis=1), axis=0)
+        src, dst, _ = _edges(pdf, edges)
+        pairs = np.unique(np.sort(np.column_stack([src, dst]), axis=1), axis=0)
     valid = np.isfinite(density) & (density > 0)
     if valid.sum() < config.n_regimes:
         return done()
@@ -201,13 +208,18 @@ def regime_labels(pdf: pd.DataFrame, edges: pd.DataFrame | None, config: MRFDens
 @label_points.register
 def _(config: MRFDensityConfig, ps: PointSet) -> tuple[DataFrame, dict[str, Any]]:
     keys = config.keys
-    k = max([config.density_k] * (config.density_estimator == "knn") + [config.graph_k] * (config.graph_kind == "knn"), default=0)
     schema = LABELS + ", regime int, smooth double, means array<double>"
-    if k:
-        g, near = _with_knn(ps.points, keys, k, ["x", "y"], ["x", "y"])
+    g = grouped(ps.points, keys, ["x", "y"])
+    asks = None
+    if config.density_estimator == "knn":
+        g = _with_kth(g, config.density_k)
+        # only points with a density have edges
+        asks = g.filter("far > 0")
+    if config.graph_kind == "knn":
+        near = knn_join(g if asks is None else asks, g, config.graph_k, ["x", "y"], ["g"])
         raw = g.groupBy("g").cogroup(near.groupBy("g")).applyInPandas(lambda a, b: regime_labels(a, b, config), schema)
     else:
-        raw = grouped(ps.points, keys, ["x", "y"]).groupBy("g").applyInPandas(lambda a: regime_labels(a, None, config), schema)
+        raw = g.groupBy("g").applyInPandas(lambda a: regime_labels(a, None, config), schema)
     raw = written(raw, "regimes")
     groups = raw.groupBy("g").agg(F.first("smooth").alias("smoothness_lambda"), F.first("means").alias("regime_means"))
     return L.compacted(_named(raw, keys), config.min_points, keys), {"mrf_regime_per_emitter": raw.select("emitter_idx", "regime"), "mrf_groups": groups}

@@ -123,24 +123,25 @@ def near_sums(queries: DataFrame, points: DataFrame, radius: float, axes: list[s
     return by_tiles(rows, radius, axes, [], run, schema, "asks")
 
 
-def kth_distances(queries: DataFrame, points: DataFrame, ks: list[int], axes: list[str], itself: bool) -> DataFrame:
-    """Rows (axes..., d<k> for each k): distance from each place of queries to its k-th nearest point, null if there are fewer; with `itself`, a query is one of points and not its own neighbour.
+def kth_distances(queries: DataFrame, points: DataFrame, ks: list[int], axes: list[str], itself: bool, keys: list[str] | None = None) -> DataFrame:
+    """Rows (keys..., axes..., d<k> for each k): distance from each place of queries to its k-th nearest point (of the same keys), null if there are fewer; with `itself`, a query is one of points and not its own neighbour.
 
     Copies count, but are one site. A place that has fewer than the largest k in the radius asks again with a wider one.
     """
-    most = max(ks)
-    held = sites(points.select("emitter_idx", *axes), axes, []).drop("_own")
+    most, keys = max(ks), keys or []
+    of = [*keys, *axes]
+    held = sites(points.select("emitter_idx", *of), axes, keys).drop("_own")
     held = written(held.filter(finite(axes)).withColumn("asks", F.lit(False)), "held")
-    todo = written(queries.groupBy(*axes).agg(F.min("emitter_idx").alias("site")).filter(finite(axes)).select(*axes, "site", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asks")), "asking")
+    todo = written(queries.groupBy(*of).agg(F.min("emitter_idx").alias("site")).filter(finite(axes)).select(*of, "site", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asks")), "asking")
     both = held.unionByName(todo)
     ends = both.agg(*[F.max(c) - F.min(c) for c in axes], *[F.percentile_approx(F.when(F.col("asks"), F.col(c)), [0.02, 0.98], 1000) for c in axes], F.sum("n")).first()
     dims = len(axes)
     if ends[0] is None or not ends[2 * dims]:
-        return todo.select(*axes, *[F.lit(None).cast("double").alias(f"d{k}") for k in ks])
+        return todo.select(*of, *[F.lit(None).cast("double").alias(f"d{k}") for k in ks])
     whole = max(float(sum(ends[:dims])), 1e-12)
     middle = [(t[1] - t[0]) or e or 1e-12 for t, e in zip(ends[dims : 2 * dims], ends[:dims], strict=True)]
     radius = min(max(float((np.prod(middle) * most / ends[2 * dims]) ** (1 / dims)) * 0.8, whole * 1e-7), whole)
-    schema = T.StructType([*(T.StructField(c, T.DoubleType()) for c in axes), *(T.StructField(f"d{k}", T.DoubleType()) for k in ks), T.StructField("site", T.LongType())])
+    schema = T.StructType([*held.select(*keys).schema.fields, *(T.StructField(c, T.DoubleType()) for c in axes), *(T.StructField(f"d{k}", T.DoubleType()) for k in ks), T.StructField("site", T.LongType())])
 
     def run(cols, ask, near):
         n = cols["n"]
@@ -152,7 +153,7 @@ def kth_distances(queries: DataFrame, points: DataFrame, ks: list[int], axes: li
             i, d2, total = i[o], d2[o], np.cumsum(w[o])
             first, last = np.searchsorted(i, q), np.searchsorted(i, q, side="right")
             before = np.where(first > 0, total[first - 1], 0)
-            out = {c: near.x[q, k] for k, c in enumerate(axes)} | {"site": cols["site"][q]}
+            out = {c: picked(cols[c], q) for c in keys} | {c: near.x[q, k] for k, c in enumerate(axes)} | {"site": cols["site"][q]}
             for k in ks:
                 place = np.searchsorted(total, before + k)
                 ok = place < last
@@ -161,11 +162,11 @@ def kth_distances(queries: DataFrame, points: DataFrame, ks: list[int], axes: li
 
     done = None
     while True:
-        got = written(by_tiles(held.unionByName(todo), radius, axes, [], run, schema, "asks"), "kth")
+        got = written(by_tiles(held.unionByName(todo), radius, axes, keys, run, schema, "asks"), "kth")
         last = radius >= whole
-        found = (got if last else got.filter(F.col(f"d{most}").isNotNull())).select(*axes, *[f"d{k}" for k in ks])
+        found = (got if last else got.filter(F.col(f"d{most}").isNotNull())).select(*of, *[f"d{k}" for k in ks])
         done = found if done is None else done.unionByName(found)
-        rest = written(got.filter(F.col(f"d{most}").isNull()).select(*axes, "site", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asks")), "asking")
+        rest = written(got.filter(F.col(f"d{most}").isNull()).select(*of, "site", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asks")), "asking")
         drop_written(todo)
         left = rest.limit(FEW + 1).count()
         if last or not left:

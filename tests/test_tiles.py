@@ -171,3 +171,17 @@ def test_places_are_classified_once(spark, monkeypatch):
     assert {r["class"]: r["count"] for r in got.groupBy("class").count().collect()} == {"outside": 5401, "membrane": 30 * 48, "interior": 30 * 72}
     loops = E.loop_diagnostics(p, [mask[0]["outer"]], mask, (0.0, 30.0, 0.0, 10.0), 1.0)
     assert [d["n_emitters_inside"] for d in loops] == [3600]
+
+
+def test_regimes_by_neighbours_find_no_pairs_of_points_without_density(spark, monkeypatch):
+    """More copies than density_k leave a place without a density: its points ask for no neighbours, and are in no regime."""
+    x = np.r_[np.tile(R.random((30, 2)), (12, 1)), 5 + R.random((150, 2)) * np.repeat([[0.3], [3.0]], 75, 0)]
+    p = from_vectors(spark, x[:, 0], x[:, 1])
+    asked = []
+    join = labeling.knn_join
+    monkeypatch.setattr(labeling, "knn_join", lambda queries, *a, **k: asked.append(queries.count()) or join(queries, *a, **k))
+    got, _ = api.cluster(p, C.MRFDensityConfig(density_estimator="knn", graph_kind="knn", density_k=10, per_dataset=False))
+    regime = [r["regime"] for r in got.metadata["mrf_regime_per_emitter"].orderBy("emitter_idx").collect()]
+    assert asked == [150]
+    d = np.sort(np.sqrt(((x[:, None] - x) ** 2).sum(-1)), axis=1)[:, 10]
+    assert [r == 0 for r in regime] == (d == 0).tolist() and set(regime[360:]) == {1, 2}
