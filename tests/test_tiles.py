@@ -185,3 +185,16 @@ def test_regimes_by_neighbours_find_no_pairs_of_points_without_density(spark, mo
     assert asked == [150]
     d = np.sort(np.sqrt(((x[:, None] - x) ** 2).sum(-1)), axis=1)[:, 10]
     assert [r == 0 for r in regime] == (d == 0).tolist() and set(regime[360:]) == {1, 2}
+
+
+def test_widths_are_tested_where_pairs_are_found(spark):
+    """Pairs beyond their widths don't leave the tiles' kernel; a null width has none."""
+    x = np.tile(R.random((40, 2)) * 0.5, (2, 1))
+    sigma = [None if i % 13 == 0 else 0.01 * (1 + i % 5) for i in range(80)]
+    p = spark.createDataFrame([(i, float(a), float(b), s) for i, ((a, b), s) in enumerate(zip(x, sigma, strict=True))], "emitter_idx long, x double, y double, sigma double")
+    got = NeighborGraph(p.drop("sigma"), 0.15, ["x", "y"]).active(p.select("emitter_idx", "sigma"), 1.5)
+    s = np.array([np.nan if v is None else v for v in sigma])
+    near, d = pairs_of(x, np.ones(80), 0.15)
+    assert {(r["src"], r["dst"]) for r in got.collect()} == set(zip(*np.nonzero(near & (d < 1.5 * (s[:, None] + s))), strict=True))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.split("MapInArrow")[0]
