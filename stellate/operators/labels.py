@@ -7,11 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..kernels.near import joined
+from ..kernels.near import Close, joined
 from .components import components
-from .shared import drop_written, written
+from .shared import drop_written, release, written
 from .tiles import by_tiles, members, picked, sites
 
+#: Tiles hold so many times the usual rows, as cores and components need few of the pairs of dense places.
+TIMES = 32
+
 
 def neighbor_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").count().select(F.col("src").alias("emitter_idx"), F.col("count").alias("n"))
@@ -30,34 +33,51 @@ def _counted(radius: float, nsigma: float | None, least: int):
     """A kernel: rows that ask, with column core."""
 
     def run(cols, ask, near):
-        n = np.zeros(len(cols["n"]))
-        for i, j, d2 in near.pairs(ask):
+        core = Close(near, np.arange(len(cols["n"])), cols.get("sigma"), nsigma).weights(cols["n"]) - 1 >= least
+        # what is close enough for sure needs no look at its neighbours
+        doubt, n = ask[~core[ask]], np.zeros(len(core))
+        for i, j, d2 in near.pairs(doubt):
             ok = _linked(cols, i, j, d2, nsigma)
-            n += np.bincount(i[ok], cols["n"][j[ok]], len(n))
-        core = (n + cols["n"] - 1)[ask] >= least
-        yield {c: picked(v, ask) for c, v in cols.items()} | {"core": core}
+            i, j = i[ok], j[ok]
+            low, high = (int(i.min()), int(i.max()) + 1) if len(i) else (0, 0)
+            n[low:high] += np.bincount(i - low, cols["n"][j], high - low)
+        core[doubt] = (n + cols["n"] - 1)[doubt] >= least
+        core = core[ask]
+        yield {c: picked(v, ask) for c, v in cols.items() if c != "n"} | {"core": core}
 
     return run
 
 
+#: What a row of a forest is: a core's own root in its tile, one that ties tiles, or one that another site touches.
+OWN, TIE, TOUCH = 0, 1, 2
+
+
 def _forest(nsigma: float | None):
-    """A kernel: rows (a, b, core) that join each core to one of its component in the tile, and each other site to such of each component it touches."""
+    """A kernel: rows (a, b, kind): each core and the smallest of its component in the tile; so again if other tiles have that core too; each other site and such of each component it touches."""
 
     def run(cols, ask, near):
         core, site = cols["core"].astype(bool), cols["site"]
-        root = np.arange(len(site))
+        cores = np.flatnonzero(core)
+        root = joined(np.arange(len(site)), *Close(near, cores, cols.get("sigma"), nsigma).links())
+        # cores with none of another component in reach have nothing to join; others join from either side, so the largest component needn't ask
+        doubt = cores[~near.settled(cores, root) & ~near.largest(cores, root)]
         touch = [np.empty((2, 0), np.int64)]
-        for i, j, d2 in near.pairs(ask):
+        for i, j, d2 in near.pairs(np.union1d(doubt, ask[~core[ask]])):
             ok = core[j] & _linked(cols, i, j, d2, nsigma)
             i, j = i[ok], j[ok]
             both = core[i]
             root = joined(root, i[both], j[both])
             touch.append(np.stack([i[~both], j[~both]]))
+        least = np.full(len(site), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, site)
+        least = least[root]
         t = np.concatenate(touch, axis=1)
-        t[1] = root[t[1]]
-        t = np.unique(t, axis=1) if t.shape[1] else t
-        up = np.flatnonzero(root != np.arange(len(root)))
-        yield {"a": site[np.r_[up, t[0]]], "b": site[np.r_[root[up], t[1]]], "core": np.r_[np.ones(len(up), bool), np.zeros(t.shape[1], bool)]}
+        t = np.unique(np.stack([site[t[0]], least[t[1]]]), axis=1) if t.shape[1] else t
+        own = ask[core[ask]]
+        here = np.zeros(len(site), bool)
+        here[ask] = True
+        tie = cores[~here[cores] | near.rim()[cores] | cols["_cut"][cores]]
+        yield {"a": np.r_[site[own], site[tie], t[0]], "b": np.r_[least[own], least[tie], t[1]], "kind": np.repeat(np.array([OWN, TIE, TOUCH], np.int32), [len(own), len(tie), t.shape[1]])}
 
     return run
 
@@ -66,27 +86,33 @@ def range_roots(points: DataFrame, radius: float, axes: list[str], keys: list[st
     """Sites of points (keys..., axes..., sigma if nsigma, _own, site, n, root): root is the smallest core of the component, of the first one adjacent if the site is none itself, null if there is none.
 
     Points within the radius (and, with nsigma, within that many of both their sigmas) are neighbours; cores have min_neighbors or more.
-    No pair leaves its task: cores are counted in tiles, which then hand on a forest of their cores.
+    No pair leaves its task: cores are counted in tiles, which then hand on a forest of their cores. Only cores that several tiles have are joined between tiles.
     """
+    spark = points.sparkSession
     s = written(sites(points, axes, keys, _apart(points)), "sites")
-    if nsigma is not None:
-        near = s.filter("sigma is not null")
-    else:
-        near = s
+    release(spark)
+    near = s.drop("_own") if nsigma is None else s.drop("_own").filter("sigma is not null")
     if min_neighbors > 0:
-        kind = T.StructType([*s.schema.fields, T.StructField("core", T.BooleanType())])
-        cored = written(by_tiles(near, radius, axes, keys, _counted(radius, nsigma, min_neighbors), kind), "cores")
-        cores = cored.filter("core").select("site")
+        kind = T.StructType([*(f for f in near.schema.fields if f.name != "n"), T.StructField("core", T.BooleanType())])
+        cored = written(by_tiles(near, radius, axes, keys, _counted(radius, nsigma, min_neighbors), kind, times=TIMES), "cores")
+        release(spark)
     else:
-        cored, cores = near.withColumn("core", F.lit(True)), s.select("site")
-    ends = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("core", T.BooleanType())])
-    links = written(by_tiles(cored, radius, axes, keys, _forest(nsigma), ends), "links")
-    r = components(links.filter("core"), "a", "b")
-    own = written(cores.join(r, F.col("site") == F.col("node"), "left").select("site", F.coalesce("root", "site").alias("root")), "roots")
-    touched = links.filter("not core").join(own.withColumnRenamed("site", "b"), "b").groupBy(F.col("a").alias("site")).agg(F.min("root").alias("root"))
-    out = written(s.join(own.unionByName(touched), "site", "left").select(*s.columns, "root"), "rooted")
-    for df in (s, cored, links, own, r):
+        cored = near.drop("n").withColumn("core", F.lit(True))
+    ends = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("kind", T.IntegerType())])
+    links = written(by_tiles(cored, radius, axes, keys, _forest(nsigma), ends, times=TIMES), "links")
+    drop_written(cored)
+    release(spark)
+    # what a core's tiles call its component is one: few rows, however many cores tie two tiles
+    names = links.filter(F.col("kind") == TIE).groupBy("a").agg(F.collect_set("b").alias("bs")).filter(F.size("bs") > 1)
+    r = components(names.select(F.array_min("bs").alias("u"), F.explode("bs").alias("v")), "u", "v")
+    release(spark)
+    least = F.min(F.coalesce("root", "b")).alias("root")
+    found = links.filter(F.col("kind") != TIE).join(r, F.col("b") == F.col("node"), "left").groupBy(F.col("a").alias("_a")).agg(least)
+    out = s.join(found, F.col("site") == F.col("_a"), "left").drop("_a")
+    out = written(out if min_neighbors > 0 else out.withColumn("root", F.coalesce("root", "site")), "rooted")
+    for df in (s, links, r):
         drop_written(df)
+    release(spark)
     return out
 
 
@@ -125,6 +151,9 @@ def cluster_sizes(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def cluster_info(points: DataFrame, keys: list[str], algorithm: str) -> DataFrame:
     """One row: counts, number of clusters and sizes in the order of (keys, id)."""
-    counts = points.agg(F.count("*").alias("n_locs_in"), F.coalesce(F.sum((F.col("id") != 0).cast("long")), F.lit(0)).alias("n_clustered"), F.coalesce(F.sum((F.col("id") == 0).cast("long")), F.lit(0)).alias("n_noise"))
-    s = cluster_sizes(points, keys).agg(F.count("*").alias("n_clusters"), F.transform(F.array_sort(F.collect_list(F.struct(*keys, "id", "n"))), lambda r: r["n"]).alias("cluster_sizes"))
-    return counts.crossJoin(s).withColumn("algorithm", F.lit(algorithm))  # one row each
+    n, found = F.col("n"), F.col("id") != 0
+    total = lambda v: F.coalesce(F.sum(v), F.lit(0))
+    # one pass over the points: all else follows from the sizes
+    s = points.groupBy(*keys, "id").agg(F.count("*").alias("n"))
+    sizes = F.transform(F.array_sort(F.collect_list(F.when(found, F.struct(*keys, "id", "n")))), lambda r: r["n"])
+    return s.agg(total(n).alias("n_locs_in"), total(F.when(found, n)).alias("n_clustered"), total(F.when(F.col("id") == 0, n)).alias("n_noise"), F.count_if(found).alias("n_clusters"), sizes.alias("cluster_sizes")).withColumn("algorithm", F.lit(algorithm))

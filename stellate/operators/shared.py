@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,3 +40,9 @@ def drop_written(df: DataFrame) -> None:
     if path:
         where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished jobs, as it does when the plans that made them are collected on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -51,16 +51,17 @@ def members(points: DataFrame, found: DataFrame, same: list[str], axes: list[str
     return p.join(s, on, "left").drop("_own", *[f"_s_{c}" for c in (*same, "_own")])
 
 
-def by_tiles(rows: DataFrame, radius: float, axes: list[str], keys: list[str], kernel: Callable[[dict, np.ndarray, Near], Iterator[dict]], schema, asks: str | None = None, ident: str = "site") -> DataFrame:
+def by_tiles(rows: DataFrame, radius: float, axes: list[str], keys: list[str], kernel: Callable[[dict, np.ndarray, Near], Iterator[dict]], schema, asks: str | None = None, ident: str = "site", times: int = 1) -> DataFrame:
     """What kernel(columns, ask, near) yields, tile by tile: columns in the order of `near`'s cells, ask the places of rows that ask here (each row once, if column `asks` holds or is not given).
 
-    Rows without coordinates or with a null key neither ask nor answer.
+    Rows without coordinates or with a null key neither ask nor answer. Tiles and slices may hold `times` as many rows as they do else.
+    Column `_cut` is whether the tile is sliced.
     """
     spark = rows.sparkSession
     rows = rows.filter(finite(axes))
     for k in keys:
         rows = rows.filter(F.col(k).isNotNull())
-    width, sliced = _plan(rows, radius, axes, keys)
+    width, sliced = _plan(rows, radius, axes, keys, times)
     own = [F.floor(F.col(c) / F.lit(width)).cast("long") for c in axes]
     reach = [F.lit(radius * (1 + 1e-9)) + F.abs(F.col(c)) * F.lit(1e-15) for c in axes]
     span = [F.sequence(F.floor((F.col(c) - r) / F.lit(width)).cast("long"), F.floor((F.col(c) + r) / F.lit(width)).cast("long")) for c, r in zip(axes, reach, strict=True)]
@@ -74,9 +75,9 @@ def by_tiles(rows: DataFrame, radius: float, axes: list[str], keys: list[str], k
     out = out.withColumn("_ask", here)
     if sliced is not None:
         out = out.join(sliced, [*keys, *ts], "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
-        out = out.withColumn("_ask", F.col("_ask") & (F.pmod(F.xxhash64(ident), F.coalesce("_slices", F.lit(1))) == F.col("_slice"))).drop("_slices")
+        out = out.withColumn("_ask", F.col("_ask") & (F.pmod(F.xxhash64(ident), F.coalesce("_slices", F.lit(1))) == F.col("_slice"))).withColumn("_cut", F.col("_slices").isNotNull()).drop("_slices")
     else:
-        out = out.withColumn("_slice", F.lit(0))
+        out = out.withColumn("_slice", F.lit(0)).withColumn("_cut", F.lit(False))
     out = out.drop(*[f"_o{i}" for i in range(len(axes))])
     group = [*keys, *ts, "_slice"]
     dealt = out.repartition(many(spark), *group).sortWithinPartitions(*group)
@@ -188,7 +189,7 @@ def pa_schema(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _plan(rows: DataFrame, radius: float, axes: list[str], keys: list[str]) -> tuple[float, DataFrame | None]:
+def _plan(rows: DataFrame, radius: float, axes: list[str], keys: list[str], times: int) -> tuple[float, DataFrame | None]:
     """Side of a tile, and rows (keys..., tile, _slices) of tiles with too many points."""
     ts = [f"_t{i}" for i in range(len(axes))]
     least = radius * SIDES[0]
@@ -196,11 +197,11 @@ def _plan(rows: DataFrame, radius: float, axes: list[str], keys: list[str]) -> t
     side = F.explode(F.array(*[F.lit(s // SIDES[0]) for s in SIDES])).alias("m")
     coarse = fine.select("*", side).groupBy("m", *keys, *[F.floor(F.col(t) / F.col("m")).alias(t) for t in ts]).agg(F.sum("n").alias("n"))
     found = {r["m"]: r for r in coarse.groupBy("m").agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("s"), F.max("n").alias("most")).collect()}
-    m = max([s // SIDES[0] for s in SIDES if s // SIDES[0] not in found or found[s // SIDES[0]]["s"] <= SHARED], default=1)
-    if m not in found or found[m]["most"] <= 2 * SLICE:
+    m = max([s // SIDES[0] for s in SIDES if s // SIDES[0] not in found or found[s // SIDES[0]]["s"] <= SHARED * times], default=1)
+    if m not in found or found[m]["most"] <= 2 * SLICE * times:
         return least * m, None
     width = least * m
-    hot = written(rows.groupBy(*keys, *[F.floor(F.col(c) / F.lit(width)).cast("long").alias(t) for c, t in zip(axes, ts, strict=True)]).agg(F.count("*").alias("n")).filter(F.col("n") > 2 * SLICE).select(*keys, *ts, F.ceil(F.col("n") / SLICE).cast("int").alias("_slices")), "hot")
+    hot = written(rows.groupBy(*keys, *[F.floor(F.col(c) / F.lit(width)).cast("long").alias(t) for c, t in zip(axes, ts, strict=True)]).agg(F.count("*").alias("n")).filter(F.col("n") > 2 * SLICE * times).select(*keys, *ts, F.ceil(F.col("n") / (SLICE * times)).cast("int").alias("_slices")), "hot")
     some = hot.limit(10_001).count()
     return width, None if not some else F.broadcast(hot) if some <= 10_000 else hot
 

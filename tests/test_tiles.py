@@ -198,3 +198,51 @@ def test_widths_are_tested_where_pairs_are_found(spark):
     assert {(r["src"], r["dst"]) for r in got.collect()} == set(zip(*np.nonzero(near & (d < 1.5 * (s[:, None] + s))), strict=True))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Filter" not in plan.split("MapInArrow")[0]
+
+
+def counted_pairs(monkeypatch):
+    """A list that gets, for each tile, how many places asked for their pairs."""
+    from stellate.kernels.near import Near
+
+    asked, pairs = [], Near.pairs
+    monkeypatch.setattr(Near, "pairs", lambda self, ask, strict=False: asked.append(len(ask)) or pairs(self, ask, strict))
+    return asked
+
+
+@pytest.mark.parametrize("widths", [None, 1.5])
+def test_dense_distinct_points_need_no_pairs(monkeypatch, widths):
+    """Points that are cores for sure, and whose surroundings are one component, aren't asked for pairs; sums and roots are those by definition."""
+    from stellate.kernels.near import Near
+    from stellate.operators.labels import _counted, _forest
+
+    n = 3000
+    x = np.r_[R.random((n - 40, 2)) * 0.8, R.random((40, 2)) * [3, 1] + [1, 0]]
+    sigma = 0.01 * (1 + np.arange(n) % 5)
+    near = Near(x, np.zeros(n, np.int64), np.zeros((n, 2)), 4.0, 0.15)
+    cols = {"site": np.arange(n)[near.order], "n": np.ones(n, np.int64), "sigma": sigma[near.order], "_cut": np.zeros(n, bool)}
+    asked = counted_pairs(monkeypatch)
+    ask = np.arange(n)
+    core = next(_counted(0.15, widths, 4)(cols, ask, near))["core"]
+    out = next(_forest(widths)(cols | {"core": core}, ask, near))
+    assert len(asked) == 2 and max(asked) < n / 4
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    linked = d <= 0.15 if widths is None else (d <= 0.15) & (d < widths * (sigma[:, None] + sigma))
+    np.fill_diagonal(linked, False)
+    held = linked.sum(1) >= 4
+    assert (core == held[near.order]).all()
+    want, got = defined(x, np.ones(n), linked, 4, 0), {}
+    for a, b, kind in zip(out["a"].tolist(), out["b"].tolist(), out["kind"].tolist(), strict=True):
+        if kind != L.TIE:
+            got.setdefault(a, set()).add(int(want[b]))
+    assert {a: min(v) for a, v in got.items()} == {i: int(v) for i, v in enumerate(want) if v}
+
+
+@pytest.mark.parametrize("times", [1, 32])
+def test_labels_across_tiles_and_slices(spark, slices, monkeypatch, times):
+    monkeypatch.setattr(L, "TIMES", times)
+    x = R.random((700, 2)) * [3.0, 0.3]
+    ps = from_vectors(spark, x[:, 0], x[:, 1])
+    for least in (0, 3):
+        near, _ = pairs_of(x, np.ones(len(x)), 0.04)
+        out = L.range_labels(ps.points.select("emitter_idx", "x", "y"), 0.04, ["x", "y"], [], least, 2)
+        assert [r["label"] for r in out.orderBy("emitter_idx").collect()] == defined(x, np.ones(len(x)), near, least, 2).tolist()
