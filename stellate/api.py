@@ -69,7 +69,7 @@ def cluster(ps: PointSet, config: ClusterConfig, **masks: Any) -> tuple[PointSet
         config.validate()
     labels, metadata = label_points(config, ps, **masks)
     all_points = L.applied(ps.points, labels)
-    info = ClusterInfo(L.cluster_info(all_points, config.keys, config.algorithm), config.algorithm, time.time() - began)
+    info = ClusterInfo(L.cluster_info(all_points, config.keys, config.algorithm, metadata.get("cluster_counts")), config.algorithm, time.time() - began)
     return ps.with_points(all_points.filter("id <> 0") if config.remove_unclustered else all_points, **metadata), info
 
 

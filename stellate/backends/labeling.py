@@ -60,22 +60,26 @@ def _named(labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.select(*[F.col("g").alias(k) for k in keys], "emitter_idx", "label")
 
 
+def _counted(found: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, dict[str, Any]]:
+    """Labels, and metadata with the number of points of each, as sites have them."""
+    return found[0], {"cluster_counts": found[1]}
+
+
 @label_points.register
 def _(config: DBSCANConfig, ps: PointSet) -> tuple[DataFrame, dict[str, Any]]:
     xs = axes(ps.points, config.use_3d)
-    p = written(ps.points.select(*config.keys, "emitter_idx", *xs), "points")
-    return L.range_labels(p, config.eps_nm / 1000, xs, config.keys, config.min_points - 1, config.min_points), {}
+    p = ps.points.select(*config.keys, "emitter_idx", *xs)
+    return _counted(L.range_labelled(p, config.eps_nm / 1000, xs, config.keys, config.min_points - 1, config.min_points))
 
 
 @label_points.register
 def _(config: PrecisionDBSCANConfig, ps: PointSet) -> tuple[DataFrame, dict[str, Any]]:
     xs = axes(ps.points, config.use_3d)
-    p = written(ps.points.select(*config.keys, "emitter_idx", *xs, sigma_eff(config.use_3d).alias("sigma")), "points")
-    sigma = p.select("emitter_idx", "sigma")
-    top = sigma.agg(F.max("sigma")).first()[0] or 0.0
+    p = ps.points.select(*config.keys, "emitter_idx", *xs, sigma_eff(config.use_3d).alias("sigma"))
+    top = p.agg(F.max("sigma")).first()[0] or 0.0
     if top <= 0:
         raise ValueError("localization uncertainties must be positive")
-    return L.range_labels(p, config.nsigma * 2 * top, xs, config.keys, config.min_points - 1, config.min_points, config.nsigma), {}
+    return _counted(L.range_labelled(p, config.nsigma * 2 * top, xs, config.keys, config.min_points - 1, config.min_points, config.nsigma))
 
 
 def precision_labels(graph: NeighborGraph, sigma: DataFrame, nsigma: float, min_points: int = 1, check_superset: bool = True) -> DataFrame:
@@ -93,8 +97,7 @@ def _(config: HierarchicalConfig, ps: PointSet) -> tuple[DataFrame, dict[str, An
     xs, keys = axes(ps.points, config.use_3d), config.keys
     cut = config.cut_threshold if config.cut_threshold is None or config.linkage == "ward" else config.cut_threshold / 1000
     if config.linkage == "single" and cut is not None:
-        p = written(ps.points.select(*keys, "emitter_idx", *xs), "points")
-        return L.range_labels(p, cut, xs, keys, 0, config.min_points), {}
+        return _counted(L.range_labelled(ps.points.select(*keys, "emitter_idx", *xs), cut, xs, keys, 0, config.min_points))
     else:
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:

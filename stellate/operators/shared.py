@@ -6,9 +6,14 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table that a join may broadcast, after a count.
+FEW = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,5 +49,18 @@ def drop_written(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of finished jobs, as it does when the plans that made them are collected on the driver."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    told = getattr(getattr(spark.sparkContext._gateway, "_gateway_client", None), "finalizer_deque", None)
+    # the driver's JVM hears of dropped plans from a thread that looks once a second, and frees what they held in a second collection
+    for _ in range(2):
+        gc.collect()
+        for _ in range(30):
+            if not told:
+                break
+            time.sleep(0.05)
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels.near import Near
-from .shared import drop_written, written
+from .shared import drop_written, few, written
 
 #: Sides of tiles in radii; rows of a tile that the mean row shares, at most, unless tiles are the smallest; rows that ask in a slice; rows that a kernel gets at least, tiles allowing; places that take wide steps.
 SIDES, SHARED, SLICE, BATCH, FEW = (2, 4, 8, 16, 32), 4096, 4096, 32768, 1000
@@ -39,8 +39,8 @@ def sites(points: DataFrame, axes: list[str], keys: list[str], apart: Column | N
     return p.groupBy(*keys, *axes, *(c for c in points.columns if c not in (*keys, *axes, "emitter_idx")), "_own").agg(F.min("emitter_idx").alias("site"), F.count("*").alias("n"))
 
 
-def members(points: DataFrame, found: DataFrame, same: list[str], axes: list[str], value: Column, apart: Column | None = None) -> DataFrame:
-    """points with what was found of their site (null where nothing was); `same`: columns that a site's points share."""
+def members(points: DataFrame, found: DataFrame, same: list[str], axes: list[str], value: Column, apart: Column | None = None, how: str = "left") -> DataFrame:
+    """points with what was found of their site (null, or with an inner join no row, where nothing was); `same`: columns that a site's points share."""
     lone = ~finite(axes) if apart is None else ~finite(axes) | F.coalesce(apart, F.lit(True))
     p = points.withColumn("_own", F.when(lone, F.col("emitter_idx")))
     s = found.select(*[F.col(c).alias(f"_s_{c}") for c in (*same, "_own")], value)
@@ -48,7 +48,17 @@ def members(points: DataFrame, found: DataFrame, same: list[str], axes: list[str
     for c in (*same, "_own"):
         one = F.col(c).eqNullSafe(F.col(f"_s_{c}"))
         on = one if on is None else on & one
-    return p.join(s, on, "left").drop("_own", *[f"_s_{c}" for c in (*same, "_own")])
+    return p.join(s, on, how).drop("_own", *[f"_s_{c}" for c in (*same, "_own")])
+
+
+def spread(points: DataFrame, found: DataFrame, keep: list[str], axes: list[str], value: str, apart: Column | None = None) -> DataFrame:
+    """Rows (keep..., emitter_idx, value) of all points; found has all their sites. A site of one point is that point: only others are looked up by place."""
+    own = found.filter("n = 1").select(*keep, F.col("site").alias("emitter_idx"), value)
+    shared = found.filter("n > 1")
+    if not shared.limit(1).count():
+        return own
+    same = [c for c in points.columns if c != "emitter_idx"]
+    return own.unionByName(members(points, few(shared), same, axes, F.col(value), apart, "inner").select(*keep, "emitter_idx", value))
 
 
 def by_tiles(rows: DataFrame, radius: float, axes: list[str], keys: list[str], kernel: Callable[[dict, np.ndarray, Near], Iterator[dict]], schema, asks: str | None = None, ident: str = "site", times: int = 1) -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators import labels as L
 from ..operators.knn import knn_join, kth_distance, symmetric_graph
 from ..operators.range_join import NeighborGraph, range_join
 from ..operators.shared import written
-from ..operators.tiles import members
+from ..operators.tiles import spread
 from ..points import CLOUD_SQL, PointSet, embeddings_cloud, events_cloud, orders_cloud
 
 QUERIES: dict = {}
@@ -384,7 +384,7 @@ query("single_linkage_cut", f"{labels_sql(EM, 'SELECT * FROM (' + near_sql(EM, 0
 @query("cluster_sizes", f"{_DB} SELECT dataset, id, count(*) AS n FROM out WHERE id <> 0 GROUP BY ALL")
 def _(spark, sf):
     ps, _ = api.cluster(events_cloud(spark, sf), C.DBSCANConfig(eps_nm=100))
-    return L.cluster_sizes(ps.points, ["dataset"])
+    return ps.metadata["cluster_counts"].filter("id <> 0")
 
 
 @query("cluster_info", f"{_DB} SELECT count(*) AS n_locs_in, count(*) FILTER (WHERE id <> 0) AS n_clustered, count(*) FILTER (WHERE id = 0) AS n_noise, count(DISTINCT (dataset, id)) FILTER (WHERE id <> 0) AS n_clusters FROM out")
@@ -401,9 +401,9 @@ def _(spark, sf):
 
 @query("connected_components", f"WITH RECURSIVE e AS ({near_sql(EV, 0.06)}), r(node, root) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, r.root FROM r JOIN e ON e.src = r.node WHERE r.root < e.dst) SELECT node, min(root) AS root FROM r GROUP BY node HAVING min(root) < node")
 def _(spark, sf):
-    p = written(events_cloud(spark, sf).points.select("dataset", "emitter_idx", "x", "y"), "points")
+    p = events_cloud(spark, sf).points.select("dataset", "emitter_idx", "x", "y")
     r = L.range_roots(p, 0.06, ["x", "y"], ["dataset"], 0)
-    return members(p, r, ["dataset", "x", "y"], ["x", "y"], F.col("root")).filter("root < emitter_idx").select(F.col("emitter_idx").alias("node"), "root")
+    return spread(p, r, [], ["x", "y"], "root").filter("root < emitter_idx").select(F.col("emitter_idx").alias("node"), "root")
 
 
 @query("precision_labels_no_noise", f"WITH RECURSIVE p AS ({EV}), e AS ({_PREC}), r(node, root) AS (SELECT emitter_idx, emitter_idx FROM p UNION SELECT e.dst, r.root FROM r JOIN e ON e.src = r.node WHERE r.root < e.dst), m AS (SELECT node AS emitter_idx, min(root) AS root FROM r GROUP BY 1) SELECT dataset, emitter_idx, dense_rank() OVER (PARTITION BY dataset ORDER BY root)::INTEGER AS label FROM m JOIN p USING (emitter_idx)")

@@ -246,3 +246,79 @@ def test_labels_across_tiles_and_slices(spark, slices, monkeypatch, times):
         near, _ = pairs_of(x, np.ones(len(x)), 0.04)
         out = L.range_labels(ps.points.select("emitter_idx", "x", "y"), 0.04, ["x", "y"], [], least, 2)
         assert [r["label"] for r in out.orderBy("emitter_idx").collect()] == defined(x, np.ones(len(x)), near, least, 2).tolist()
+
+
+def shuffle_files(spark):
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
+def test_finished_shuffles_are_let_go_at_once(spark, tmp_path):
+    """What a finished step has shuffled doesn't lie beside what the next one shuffles."""
+    import time
+
+    from stellate.operators.shared import release
+
+    release(spark)
+    time.sleep(1)
+    before = shuffle_files(spark)
+    spark.range(10_000).groupBy(F.col("id") % 1000).count().write.parquet(f"{tmp_path}/out")
+    release(spark)
+    time.sleep(1)
+    assert shuffle_files(spark) <= before
+
+
+def test_points_alone_at_their_place_are_labelled_without_a_join_by_place(spark):
+    """Sites of one point give its label themselves, so that all points and sites aren't shuffled again; sites of several are looked up."""
+    x = R.random((400, 2)) * [2.0, 0.3]
+    for copies in (1, 2):
+        y = np.r_[x, x[: 20 * (copies - 1)]]
+        ps = from_vectors(spark, y[:, 0], y[:, 1])
+        near, _ = pairs_of(y, np.ones(len(y)), 0.05)
+        p = ps.points.select("emitter_idx", "x", "y")
+        out = L.range_labels(p, 0.05, ["x", "y"], [], 3, 4)
+        assert [r["label"] for r in out.orderBy("emitter_idx").collect()] == defined(y, np.ones(len(y)), near, 3, 4).tolist()
+        assert ("_s_x" in out._jdf.queryExecution().analyzed().toString()) == (copies > 1)
+
+
+@pytest.mark.parametrize("removed", [False, True])
+def test_counts_of_labels_are_those_of_the_points(spark, slices, removed):
+    """Sizes come from sites and not from another pass over all points; points without coordinates or dataset count as noise."""
+    x, ps = cloud(spark, 2)
+    odd = spark.createDataFrame([(9001, None, 1.0, 1), (9002, float("nan"), 1.0, 2), (9003, 0.1, 0.1, None)], "emitter_idx long, x double, y double, dataset int")
+    ps = point_set(ps.points.select("emitter_idx", "x", "y", "dataset").unionByName(odd))
+    got, info = api.cluster(ps, C.DBSCANConfig(eps_nm=50, min_points=12, remove_unclustered=removed))
+    counts = {(r["dataset"], r["id"]): r["n"] for r in got.metadata["cluster_counts"].collect()}
+    found = {(r["dataset"], r["id"]): r["count"] for r in got.points.groupBy("dataset", "id").count().collect()}
+    assert found == {k: n for k, n in counts.items() if k[1] or not removed} and sum(counts.values()) == len(x) + 3
+    row = info.row()
+    assert (row["n_locs_in"], row["n_clusters"]) == (len(x) + 3, sum(k[1] > 0 for k in counts))
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_few_and_of_many_edges(spark, few):
+    from stellate.operators.components import components
+
+    e = [(int(a), int(b)) for a, b in R.integers(0, 300, (200, 2))] + [(1000, None)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(e, "a long, b long"), "a", "b", few).collect()}
+    root = {n: n for p in e[:-1] for n in p}
+    for _ in range(300):
+        for a, b in e[:-1]:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {n: r for n, r in root.items() if n != r}
+
+
+@pytest.mark.parametrize("least", [0, 3])
+def test_names_of_tiles_that_are_too_many_to_broadcast(spark, monkeypatch, least):
+    from stellate.operators import shared
+
+    monkeypatch.setattr(tiles, "SLICE", 8)
+    monkeypatch.setattr(tiles, "SHARED", 16)
+    monkeypatch.setattr(L, "TIMES", 1)
+    monkeypatch.setattr(L, "FEW", 0)
+    monkeypatch.setattr(shared, "FEW", 0)
+    x = R.random((400, 2)) * [2.0, 0.3]
+    x = np.r_[x, x[:50]]
+    ps = from_vectors(spark, x[:, 0], x[:, 1])
+    near, _ = pairs_of(x, np.ones(len(x)), 0.04)
+    out = L.range_labels(ps.points.select("emitter_idx", "x", "y"), 0.04, ["x", "y"], [], least, 2)
+    assert [r["label"] for r in out.orderBy("emitter_idx").collect()] == defined(x, np.ones(len(x)), near, least, 2).tolist()
