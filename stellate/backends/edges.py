@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from ..configs import EdgeConfig, KdeValleyConfig, OuterPolygonConfig
 from ..functions.geometry import unbiased_density
 from ..kernels import rings as R
 from ..operators.shared import written
-from ..operators.tiles import kth_distances, many, near_sums
+from ..operators.tiles import kth_distances, many, near_sums, pa_schema
 from ..points import PointSet
 
 OUTSIDE, MEMBRANE, INTERIOR = "outside", "membrane", "interior"
@@ -102,6 +104,19 @@ def places(points: DataFrame, columns: list[str]) -> DataFrame:
     return points.groupBy(*columns).agg(F.count("*").alias("n")).select(*[F.col(c).alias(f"_{c}") for c in columns], "n").repartition(many(points.sparkSession), *[f"_{c}" for c in columns])
 
 
+def chunks(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.Table]:
+    """Batches put together, so that kernels get many points at once."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
     """Rows (bin from 1, n, lo, hi): equal widths from least to largest, the top edge in the last bin, empty bins too."""
     ends = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
@@ -160,26 +175,28 @@ def truncated_sides(points: DataFrame, fov: tuple[float, float, float, float], t
 
 
 def labelled(points: DataFrame, cells: list[dict], membrane: float, fov, tol: float, sides: dict[str, bool]) -> DataFrame:
-    """points with class, inside_outer and dist_to_outer_um, place by place."""
+    """points with class, inside_outer and dist_to_outer_um; each task labels its own points, so none is moved."""
     from pyspark.sql import types as T
 
     s = R.segments([r for c in cells for r in (c["outer"], *c["holes"])])
     s = s[~R.on_cut(s, fov, tol, sides)] if len(s) else s
     points = points.drop("class", "inside_outer", "dist_to_outer_um")
-    schema = T.StructType([T.StructField("_x", T.DoubleType()), T.StructField("_y", T.DoubleType()), T.StructField("class", T.StringType()), T.StructField("inside_outer", T.BooleanType()), T.StructField("dist_to_outer_um", T.DoubleType())])
+    schema = T.StructType([*points.schema.fields, T.StructField("class", T.StringType()), T.StructField("inside_outer", T.BooleanType()), T.StructField("dist_to_outer_um", T.DoubleType())])
+    arrow = pa_schema(schema)
 
     def run(batches):
-        for pdf in batches:
-            x, y = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
+        for t in chunks(batches):
+            x, y = (t[c].to_numpy().astype(float) for c in ("x", "y"))
             held = R.in_region(x, y, cells)
-            d = np.full(len(pdf), np.nan)
+            # NaN, not null, at the edge of the API
+            d = np.full(len(x), np.nan)
             d[held] = R.segment_distance(x[held], y[held], s)[0]
             with np.errstate(invalid="ignore"):
-                yield pdf.drop(columns="n").assign(**{"class": np.where(~held, OUTSIDE, np.where(d < membrane, MEMBRANE, INTERIOR)), "inside_outer": held, "dist_to_outer_um": d})
+                kind = np.where(~held, OUTSIDE, np.where(d < membrane, MEMBRANE, INTERIOR))
+            columns = [*t.columns, pa.array(kind, pa.string()), pa.array(held), pa.array(d, pa.float64(), from_pandas=False)]
+            yield from pa.Table.from_arrays(columns, schema=arrow).to_batches(max_chunksize=10_000)
 
-    found = places(points, ["x", "y"]).mapInPandas(run, schema)
-    # NaN, not null, at the edge of the API
-    return points.join(found, F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y")), "left").drop("_x", "_y").withColumn("dist_to_outer_um", F.coalesce("dist_to_outer_um", F.lit(math.nan)))
+    return points.mapInArrow(run, schema)
 
 
 def loop_diagnostics(points: DataFrame, loops: list[R.Ring], cells: list[dict], fov, dense: float) -> list[dict]:
@@ -197,12 +214,12 @@ def loop_diagnostics(points: DataFrame, loops: list[R.Ring], cells: list[dict],
 
     def counts(batches):
         total = np.zeros(len(loops), np.int64)
-        for pdf in batches:
-            x, y, n = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float), pdf["n"].to_numpy()
-            total += [int(n[R.inside(x, y, loop)].sum()) for loop in loops]
-        yield pd.DataFrame({"loop": np.arange(len(loops), dtype=np.int32), "n": total})
+        for t in chunks(batches):
+            x, y = (t[c].to_numpy().astype(float) for c in ("x", "y"))
+            total += [int(R.inside(x, y, loop).sum()) for loop in loops]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(loops), dtype=np.int32)), pa.array(total)], names=["loop", "n"])
 
-    held = {r["loop"]: r["n"] for r in places(points, ["x", "y"]).mapInPandas(counts, "loop int, n long").groupBy("loop").agg(F.sum("n").alias("n")).collect()}
+    held = {r["loop"]: r["n"] for r in points.select("x", "y").mapInArrow(counts, "loop int, n long").groupBy("loop").agg(F.sum("n").alias("n")).collect()}
     used = {frozenset(r) for c in cells for r in (c["outer"], *c["holes"])}
     out = []
     for i, loop in enumerate(loops):

@@ -191,7 +191,7 @@ def on_cut(s: np.ndarray, fov: tuple[float, float, float, float], tol: float, si
 def segment_distance(x: np.ndarray, y: np.ndarray, s: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """(distance to the nearest segment, which one, the first of equals); inf and -1 without segments.
 
-    Points are asked by small boxes, each against the segments that may be the nearest to any place of it.
+    Points are asked by small boxes, each against the segments that may be the nearest to any place of it; of few segments all are asked.
     """
     if not len(s):
         return np.full(len(x), np.inf), np.full(len(x), -1)
@@ -200,6 +200,13 @@ def segment_distance(x: np.ndarray, y: np.ndarray, s: np.ndarray, block: int = 2
     length = (u * u).sum(1)
     q = np.column_stack([x, y])
     at = np.flatnonzero(np.isfinite(q).all(1))
+    if len(s) <= 32:
+        for i in range(0, len(at), block):
+            m = at[i : i + block]
+            d = _to_segments(q[m], a, u, length)
+            which[m] = d.argmin(1)
+            dist[m] = d[np.arange(len(m)), which[m]]
+        return dist, which
     for here in _boxes(q, at):
         low, high = q[here].min(0), q[here].max(0)
         # a box's places are within its half diagonal of its middle

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from ..kernels.near import Near
 from .shared import drop_written, few, written
 
-#: Sides of tiles in radii; rows of a tile that the mean row shares, at most, unless tiles are the smallest; rows that ask in a slice; rows that a kernel gets at least, tiles allowing; places that take wide steps.
-SIDES, SHARED, SLICE, BATCH, FEW = (2, 4, 8, 16, 32), 4096, 4096, 32768, 1000
+#: Sides of tiles in radii; rows of a tile that the mean row shares, at most, unless tiles are the smallest; rows that ask in a slice; rows that a kernel gets at least, tiles allowing; places that take wide steps; places that ask of the points around them alone.
+SIDES, SHARED, SLICE, BATCH, FEW, ASKING = (2, 4, 8, 16, 32), 4096, 4096, 32768, 1000, 10_000
 
 
 def finite(axes: list[str]) -> Column:
@@ -141,10 +141,13 @@ def kth_distances(queries: DataFrame, points: DataFrame, ks: list[int], axes: li
     """
     most, keys = max(ks), keys or []
     of = [*keys, *axes]
-    held = sites(points.select("emitter_idx", *of), axes, keys).drop("_own")
-    held = written(held.filter(finite(axes)).withColumn("asks", F.lit(False)), "held")
+    every = points.select("emitter_idx", *of).filter(finite(axes))
     todo = written(queries.groupBy(*of).agg(F.min("emitter_idx").alias("site")).filter(finite(axes)).select(*of, "site", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asks")), "asking")
-    both = held.unionByName(todo)
+    # where few places ask, only points around them are put together and dealt, round by round
+    some = todo.limit(ASKING + 1).count() <= ASKING
+    held = None if some else written(sites(every, axes, keys).drop("_own").withColumn("asks", F.lit(False)), "held")
+    lone = every.select(*of, F.lit(1).cast("long").alias("n"), F.lit(False).alias("asks"))
+    both = (lone if some else held.select(*of, "n", "asks")).unionByName(todo.select(*of, "n", "asks"))
     ends = both.agg(*[F.max(c) - F.min(c) for c in axes], *[F.percentile_approx(F.when(F.col("asks"), F.col(c)), [0.02, 0.98], 1000) for c in axes], F.sum("n")).first()
     dims = len(axes)
     if ends[0] is None or not ends[2 * dims]:
@@ -152,7 +155,7 @@ def kth_distances(queries: DataFrame, points: DataFrame, ks: list[int], axes: li
     whole = max(float(sum(ends[:dims])), 1e-12)
     middle = [(t[1] - t[0]) or e or 1e-12 for t, e in zip(ends[dims : 2 * dims], ends[:dims], strict=True)]
     radius = min(max(float((np.prod(middle) * most / ends[2 * dims]) ** (1 / dims)) * 0.8, whole * 1e-7), whole)
-    schema = T.StructType([*held.select(*keys).schema.fields, *(T.StructField(c, T.DoubleType()) for c in axes), *(T.StructField(f"d{k}", T.DoubleType()) for k in ks), T.StructField("site", T.LongType())])
+    schema = T.StructType([*points.select(*keys).schema.fields, *(T.StructField(c, T.DoubleType()) for c in axes), *(T.StructField(f"d{k}", T.DoubleType()) for k in ks), T.StructField("site", T.LongType())])
 
     def run(cols, ask, near):
         n = cols["n"]
@@ -173,7 +176,11 @@ def kth_distances(queries: DataFrame, points: DataFrame, ks: list[int], axes: li
 
     done = None
     while True:
+        if some:
+            held = written(sites(around(every, todo, radius, axes, keys), axes, keys).drop("_own").withColumn("asks", F.lit(False)), "held")
         got = written(by_tiles(held.unionByName(todo), radius, axes, keys, run, schema, "asks"), "kth")
+        if some:
+            drop_written(held)
         last = radius >= whole
         found = (got if last else got.filter(F.col(f"d{most}").isNotNull())).select(*of, *[f"d{k}" for k in ks])
         done = found if done is None else done.unionByName(found)
@@ -182,12 +189,25 @@ def kth_distances(queries: DataFrame, points: DataFrame, ks: list[int], axes: li
         left = rest.limit(FEW + 1).count()
         if last or not left:
             drop_written(rest)
-            drop_written(held)
+            if not some:
+                drop_written(held)
             return done
         # few places that are left, far from most points, take wide steps, as each round reads all sites
         todo, radius = rest, min(radius * (2 if left > FEW else 8), whole)
 
 
+def around(rows: DataFrame, asking: DataFrame, radius: float, axes: list[str], keys: list[str]) -> DataFrame:
+    """Those of rows that lie in a cell, a radius wide, that a row of `asking` (few) reaches into."""
+    cells = asking.select(*keys, *axes)
+    for i, c in enumerate(axes):
+        reach = F.lit(radius * (1 + 1e-9)) + F.abs(F.col(c)) * F.lit(1e-15)
+        cells = cells.withColumn(f"_c{i}", F.explode(F.sequence(F.floor((F.col(c) - reach) / F.lit(radius)).cast("long"), F.floor((F.col(c) + reach) / F.lit(radius)).cast("long"))))
+    cs = [f"_c{i}" for i in range(len(axes))]
+    for c, axis in zip(cs, axes, strict=True):
+        rows = rows.withColumn(c, F.floor(F.col(axis) / F.lit(radius)).cast("long"))
+    return rows.join(F.broadcast(cells.select(*keys, *cs).distinct()), [*keys, *cs], "left_semi").drop(*cs)
+
+
 def picked(column, at: np.ndarray):
     """Values of a kernel's column."""
     return column[at] if isinstance(column, np.ndarray) else column.take(pa.array(at))

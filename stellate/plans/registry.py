@@ -341,8 +341,8 @@ d AS (SELECT emitter_idx, min(sqrt(pow(x - (ax + f * (cx - ax)), 2) + pow(y - (a
 l AS (SELECT emitter_idx, CASE WHEN NOT held THEN 'outside' WHEN d < 0.1 THEN 'membrane' ELSE 'interior' END AS class, CASE WHEN held THEN round(d, 6) END AS dist FROM o JOIN d USING (emitter_idx))"""
 
 
-def _mask_labels(spark, sf):
-    p = events_cloud(spark, sf).points
+def _mask_labels(spark, sf, p=None):
+    p = events_cloud(spark, sf).points if p is None else p
     return E.labelled(p, [{"outer": SQUARE, "holes": []}], 0.1, (0.0, 30.0, 0.0, 6.0), 0.15, dict.fromkeys("LRBT", False))
 
 

@@ -10,8 +10,15 @@ import tomllib
 from datetime import UTC, datetime
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from ..backends.edges import EdgeInfo, edge_report
 from ..configs import EdgeConfig, KdeValleyConfig, OuterPolygonConfig
+from ..operators.tiles import many, pa_schema
 
 #: Fixed values of the file formats.
 VERSIONS = {"classified.tsv": 2, "polygon_loops.tsv": 2, "loop_diagnostics.csv": 2, "params.json": 3, "manifest.json": 1}
@@ -63,16 +70,61 @@ def now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+def numbered(points: DataFrame, order: str) -> DataFrame:
+    """points with `_row`, their place from 1 in ascending order; partitions are in order too. Rows are moved once: their places follow from counts of ranges."""
+    parts = 2 * many(points.sparkSession)
+    cuts = sorted(set(points.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    points = points.withColumn("_part", part)
+    before, total = {}, 0
+    for r in sorted(points.groupBy("_part").count().collect()):
+        before[r[0]], total = total, total + r[1]
+    schema = T.StructType([*points.drop("_part").schema.fields, T.StructField("_row", T.LongType())])
+    arrow = pa_schema(schema)
+
+    def run(batches):
+        seen = dict(before)
+        for b in batches:
+            at = b["_part"].to_numpy()
+            row = np.empty(len(at), np.int64)
+            # parts stand together
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+            for i, j in zip(first, [*first[1:], len(at)], strict=True):
+                k = int(at[i])
+                row[i:j] = np.arange(seen[k] + 1, seen[k] + 1 + j - i)
+                seen[k] += int(j - i)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in arrow.names[:-1]), pa.array(row)], schema=arrow)
+
+    return points.repartitionByRange(parts, "_part").sortWithinPartitions("_part", F.asc_nulls_first(order)).mapInArrow(run, schema)
+
+
+def classified_head(n: int, condition: str, cell: str) -> list[str]:
+    names = ("emitter_id", "x_um", "y_um", "class", "inside_outer", "in_cell", "dist_to_outer_um")
+    return [f"# schema_version: {VERSIONS['classified.tsv']}", f"# condition: {condition}", f"# cell: {cell}", f"# n_emitters: {n}", "# coord_units: um", "\t".join(names)]
+
+
+def classified_lines(info: EdgeInfo) -> DataFrame:
+    """Rows (number, line): lines of classified.tsv after its head, points numbered from 1, unless they have a `_row`; partitions are in order."""
+
+    def run(batches):
+        for b in batches:
+            columns = (b[c].to_pylist() for c in ("_row", "x", "y", "class", "inside_outer", "dist_to_outer_um"))
+            lines = [f"{i}\t{rounded(x, 6)}\t{rounded(y, 6)}\t{kind}\t{int(held)}\t{int(kind != 'outside')}\t{_number(d, 6)}" for i, x, y, kind, held, d in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["_row"], pa.array(lines, pa.string())], names=["number", "line"])
+
+    points, columns = info.points, ["x", "y", "class", "inside_outer", "dist_to_outer_um"]
+    if "_row" not in points.columns:
+        points = numbered(points.select("emitter_idx", *columns), "emitter_idx")
+    return points.select("_row", *columns).mapInArrow(run, "number long, line string")
+
+
 def write_edge_artifacts(leaf: str, info: EdgeInfo, condition: str, cell: str, input_meta: dict[str, Any] | None = None, repo_root: str = ".") -> None:
     """Write all files into `leaf`. Points are streamed to the one text file partition by partition."""
     os.makedirs(leaf, exist_ok=True)
     at = lambda name: os.path.join(leaf, name)
-    points = info.points.orderBy("emitter_idx").select("x", "y", "class", "inside_outer", "dist_to_outer_um")
     with open(at("classified.tsv"), "w") as f:
-        f.write(f"# schema_version: {VERSIONS['classified.tsv']}\n# condition: {condition}\n# cell: {cell}\n# n_emitters: {info.points.count()}\n# coord_units: um\n")
-        f.write("emitter_id\tx_um\ty_um\tclass\tinside_outer\tin_cell\tdist_to_outer_um\n")
-        for i, r in enumerate(points.toLocalIterator(), 1):
-            f.write(f"{i}\t{rounded(r[0], 6)}\t{rounded(r[1], 6)}\t{r[2]}\t{int(r[3])}\t{int(r[2] != 'outside')}\t{_number(r[4], 6)}\n")
+        f.writelines(f"{line}\n" for line in classified_head(info.points.count(), condition, cell))
+        f.writelines(f"{r[0]}\n" for r in classified_lines(info).select("line").toLocalIterator())
     with open(at("polygon_loops.tsv"), "w") as f:
         f.write(f"# schema_version: {VERSIONS['polygon_loops.tsv']}\n# alpha_nm: {round(info.config.alpha_nm)}\n# loop_count: {len(info.loops)}\nloop_id\tvertex_id\tx_um\ty_um\n")
         for i, loop in enumerate(info.loops, 1):
