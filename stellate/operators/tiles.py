@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..kernels import discs
 from ..kernels.near import Near
 from .shared import drop_written, few, written
 
-#: Sides of tiles in radii; rows of a tile that the mean row shares, at most, unless tiles are the smallest; rows that ask in a slice; rows that a kernel gets at least, tiles allowing; places that take wide steps; places that ask of the points around them alone.
-SIDES, SHARED, SLICE, BATCH, FEW, ASKING = (2, 4, 8, 16, 32), 4096, 4096, 32768, 1000, 10_000
+#: Sides of tiles in radii; rows of a tile that the mean row shares, at most, unless tiles are the smallest; rows that ask in a slice; rows that a kernel gets at least, tiles allowing; places that take wide steps; places that ask of the points around them alone; slices of sums, in slices of pairs, as each slice gets all of its tile.
+SIDES, SHARED, SLICE, BATCH, FEW, ASKING, HEAVY = (2, 4, 8, 16, 32), 4096, 4096, 32768, 1000, 10_000, 16
 
 
 def finite(axes: list[str]) -> Column:
@@ -61,17 +62,17 @@ def spread(points: DataFrame, found: DataFrame, keep: list[str], axes: list[str]
     return own.unionByName(members(points, few(shared), same, axes, F.col(value), apart, "inner").select(*keep, "emitter_idx", value))
 
 
-def by_tiles(rows: DataFrame, radius: float, axes: list[str], keys: list[str], kernel: Callable[[dict, np.ndarray, Near], Iterator[dict]], schema, asks: str | None = None, ident: str = "site", times: int = 1) -> DataFrame:
+def by_tiles(rows: DataFrame, radius: float, axes: list[str], keys: list[str], kernel: Callable[[dict, np.ndarray, Near], Iterator[dict]], schema, asks: str | None = None, ident: str = "site", times: int = 1, slices: int = 1) -> DataFrame:
     """What kernel(columns, ask, near) yields, tile by tile: columns in the order of `near`'s cells, ask the places of rows that ask here (each row once, if column `asks` holds or is not given).
 
-    Rows without coordinates or with a null key neither ask nor answer. Tiles and slices may hold `times` as many rows as they do else.
+    Rows without coordinates or with a null key neither ask nor answer. Tiles and slices may hold `times` as many rows as they do else, slices again `slices` as many.
     Column `_cut` is whether the tile is sliced.
     """
     spark = rows.sparkSession
     rows = rows.filter(finite(axes))
     for k in keys:
         rows = rows.filter(F.col(k).isNotNull())
-    width, sliced = _plan(rows, radius, axes, keys, times)
+    width, sliced = _plan(rows, radius, axes, keys, times, slices)
     own = [F.floor(F.col(c) / F.lit(width)).cast("long") for c in axes]
     reach = [F.lit(radius * (1 + 1e-9)) + F.abs(F.col(c)) * F.lit(1e-15) for c in axes]
     span = [F.sequence(F.floor((F.col(c) - r) / F.lit(width)).cast("long"), F.floor((F.col(c) + r) / F.lit(width)).cast("long")) for c, r in zip(axes, reach, strict=True)]
@@ -100,9 +101,9 @@ def many(spark: SparkSession) -> int:
 
 
 def near_sums(queries: DataFrame, points: DataFrame, radius: float, axes: list[str], terms: list[str], sigma: float | None = None) -> DataFrame:
-    """Rows (axes..., m, terms...): for each place of queries that has any, the number of points in the radius, and sums over them; copies at the place itself count, and so does the point itself if it is one of them.
+    """Rows (axes..., site, n, m, terms...): for each place of queries that has any, the number of points in the radius, and sums over them; copies at the place itself count, and so does the point itself if it is one of them.
 
-    Terms: `kernel` (exp(-d^2 / (2 sigma^2))), or `d_x` and the like (the neighbour's coordinate less the query's).
+    Terms: `kernel` (exp(-d^2 / (2 sigma^2)); m is null then), or `d_x` and `d_y` (the neighbour's coordinate less the query's). n is the number of points at the place.
     """
     if queries is points:
         rows = sites(points.select("emitter_idx", *axes), axes, []).drop("_own").withColumn("asks", F.lit(True))
@@ -111,17 +112,36 @@ def near_sums(queries: DataFrame, points: DataFrame, radius: float, axes: list[s
         rows = a.unionByName(sites(points.select("emitter_idx", *axes), axes, []).drop("_own").withColumn("asks", F.lit(False)))
         # a place that asks and holds points is one row
         rows = rows.groupBy(*axes).agg(F.min("site").alias("site"), F.sum("n").alias("n"), F.max("asks").alias("asks"))
-    rows = written(rows, "sites")
-    schema = T.StructType([*(T.StructField(c, T.DoubleType()) for c in axes), T.StructField("m", T.LongType()), *(T.StructField(t, T.DoubleType()) for t in terms)])
+    return site_sums(written(rows, "sites"), radius, axes, terms, sigma)
+
+
+def site_sums(rows: DataFrame, radius: float, axes: list[str], terms: list[str], sigma: float | None = None) -> DataFrame:
+    """near_sums of places (axes..., site, n, asks)."""
+    schema = T.StructType([*(T.StructField(c, T.DoubleType()) for c in axes), T.StructField("site", T.LongType()), T.StructField("n", T.LongType()), T.StructField("m", T.LongType()), *(T.StructField(t, T.DoubleType()) for t in terms)])
+    smooth = terms == ["kernel"]
+    # kernels of cells are exact for sides that are short in sigmas
+    cells = len(axes) == 2 and (set(terms) <= {"d_x", "d_y"} or smooth and radius / discs.CELLS[0] <= discs.SMOOTH * sigma)
 
     def run(cols, ask, near):
-        size, n, counts = len(near.x), np.zeros(len(near.x)), cols["n"].astype(float)
+        size, m, counts = len(near.x), np.zeros(len(near.x)), cols["n"].astype(float)
         sums = {t: np.zeros(size) for t in terms}
+        for first, end, k in discs.dense_tiles(near) if cells else []:
+            here = (ask >= first) & (ask < end)
+            at, ask = ask[here], ask[~here]
+            if not len(at):
+                continue
+            found = discs.disc_sums(near, first, end, k, at, counts, sigma if smooth else None)
+            if smooth:
+                sums["kernel"][at] = found[:, 0] if found.ndim > 1 else found
+            else:
+                m[at] = np.rint(found[:, 0])
+                for t in terms:
+                    sums[t][at] = found[:, 1 + axes.index(t[2:])]
         for i, j, d2 in near.pairs(ask):
             w = counts[j]
             # i comes in runs; sums over few places are cheap
             low, high = (int(i.min()), int(i.max()) + 1) if len(i) else (0, 0)
-            n[low:high] += np.bincount(i - low, w, high - low)
+            m[low:high] += np.bincount(i - low, w, high - low)
             for t in terms:
                 if t == "kernel":
                     v = np.exp(d2 * (-1 / (2 * sigma * sigma)))
@@ -129,9 +149,10 @@ def near_sums(queries: DataFrame, points: DataFrame, radius: float, axes: list[s
                     axis = near.x[:, axes.index(t[2:])]
                     v = axis[j] - axis[i]
                 sums[t][low:high] += np.bincount(i - low, w * v, high - low)
-        yield {c: near.x[ask, k] for k, c in enumerate(axes)} | {"m": n[ask].astype(np.int64)} | {t: sums[t][ask] for t in terms}
+        ask = np.flatnonzero(cols["_ask"])
+        yield {c: near.x[ask, k] for k, c in enumerate(axes)} | {"site": cols["site"][ask], "n": cols["n"][ask], "m": pa.nulls(len(ask), pa.int64()) if smooth else m[ask].astype(np.int64)} | {t: sums[t][ask] for t in terms}
 
-    return by_tiles(rows, radius, axes, [], run, schema, "asks")
+    return by_tiles(rows, radius, axes, [], run, schema, "asks", slices=HEAVY)
 
 
 def kth_distances(queries: DataFrame, points: DataFrame, ks: list[int], axes: list[str], itself: bool, keys: list[str] | None = None) -> DataFrame:
@@ -219,7 +240,7 @@ def pa_schema(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _plan(rows: DataFrame, radius: float, axes: list[str], keys: list[str], times: int) -> tuple[float, DataFrame | None]:
+def _plan(rows: DataFrame, radius: float, axes: list[str], keys: list[str], times: int, slices: int) -> tuple[float, DataFrame | None]:
     """Side of a tile, and rows (keys..., tile, _slices) of tiles with too many points."""
     ts = [f"_t{i}" for i in range(len(axes))]
     least = radius * SIDES[0]
@@ -228,10 +249,10 @@ def _plan(rows: DataFrame, radius: float, axes: list[str], keys: list[str], time
     coarse = fine.select("*", side).groupBy("m", *keys, *[F.floor(F.col(t) / F.col("m")).alias(t) for t in ts]).agg(F.sum("n").alias("n"))
     found = {r["m"]: r for r in coarse.groupBy("m").agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("s"), F.max("n").alias("most")).collect()}
     m = max([s // SIDES[0] for s in SIDES if s // SIDES[0] not in found or found[s // SIDES[0]]["s"] <= SHARED * times], default=1)
-    if m not in found or found[m]["most"] <= 2 * SLICE * times:
+    if m not in found or found[m]["most"] <= 2 * SLICE * times * slices:
         return least * m, None
     width = least * m
-    hot = written(rows.groupBy(*keys, *[F.floor(F.col(c) / F.lit(width)).cast("long").alias(t) for c, t in zip(axes, ts, strict=True)]).agg(F.count("*").alias("n")).filter(F.col("n") > 2 * SLICE * times).select(*keys, *ts, F.ceil(F.col("n") / (SLICE * times)).cast("int").alias("_slices")), "hot")
+    hot = written(rows.groupBy(*keys, *[F.floor(F.col(c) / F.lit(width)).cast("long").alias(t) for c, t in zip(axes, ts, strict=True)]).agg(F.count("*").alias("n")).filter(F.col("n") > 2 * SLICE * times * slices).select(*keys, *ts, F.ceil(F.col("n") / (SLICE * times * slices)).cast("int").alias("_slices")), "hot")
     some = hot.limit(10_001).count()
     return width, None if not some else F.broadcast(hot) if some <= 10_000 else hot
 
