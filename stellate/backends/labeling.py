@@ -12,6 +12,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,13 +161,17 @@ def _(config: VoronoiConfig, ps: PointSet) -> tuple[DataFrame, dict[str, Any]]:
     return L.compacted(_named(raw, keys), config.min_points, keys), {}
 
 
-def regime_labels(pdf: pd.DataFrame, edges: pd.DataFrame | None, config: MRFDensityConfig) -> pd.DataFrame:
-    """Regimes (from 1; 0 where there is no density) and foreground components of one group."""
-    pdf = pdf.sort_values("emitter_idx", kind="stable")
-    n = len(pdf)
+def regime_labels(points: pa.Table, edges: pa.Table | None, config: MRFDensityConfig) -> pa.Table:
+    """Regimes (from 1; 0 where there is no density) and foreground components of one group; all in flat arrays, as a group is one task."""
+    points = points.sort_by("emitter_idx")
+    n, ids = points.num_rows, points["emitter_idx"].to_numpy()
     regime, labels, smooth, means = np.zeros(n, int), np.zeros(n, int), np.nan, [np.nan] * config.n_regimes
-    x = pdf[["x", "y"]].to_numpy(float)
-    done = lambda: pdf[["g", "emitter_idx"]].assign(label=labels.astype("int32"), regime=regime.astype("int32"), smooth=smooth, means=[list(means)] * n)
+    x = np.column_stack([points[c].to_numpy() for c in ("x", "y")]).astype(float)
+
+    def done() -> pa.Table:
+        lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(means), pa.array(np.tile(np.asarray(means, float), n), from_pandas=True))
+        return pa.table({"g": points["g"], "emitter_idx": points["emitter_idx"], "label": pa.array(labels.astype(np.int32)), "regime": pa.array(regime.astype(np.int32)), "smooth": pa.array(np.full(n, smooth, float), from_pandas=True), "means": lists})
+
     if n < 3:
         return done()
     pairs = np.empty((0, 2), np.int64)
@@ -177,12 +182,19 @@ def regime_labels(pdf: pd.DataFrame, edges: pd.DataFrame | None, config: MRFDens
             with np.errstate(divide="ignore"):
                 density = np.where(area > 0, 1 / area, np.nan)
     if config.density_estimator == "knn":
-        far = pdf["far"].to_numpy(float)
+        far = points["far"].to_numpy().astype(float)
         at = far > 0
         density[at] = config.density_k / (np.pi * far[at] ** 2)
-    if edges is not None and len(edges):
-        src, dst, _ = _edges(pdf, edges)
-        pairs = np.unique(np.sort(np.column_stack([src, dst]), axis=1), axis=0)
+    if edges is not None and edges.num_rows:
+        code, at = np.empty(edges.num_rows, np.int64), 0
+        for batch in edges.to_batches(max_chunksize=1 << 16):
+            src, dst = (np.searchsorted(ids, batch[c].to_numpy()) for c in ("src", "dst"))
+            code[at : at + len(src)] = np.minimum(src, dst) * n + np.maximum(src, dst)
+            at += len(src)
+        code.sort()
+        code = code[np.r_[True, code[1:] != code[:-1]]]
+        pairs = np.column_stack([(code // n).astype(np.int32), (code % n).astype(np.int32)])
+        del code
     valid = np.isfinite(density) & (density > 0)
     if valid.sum() < config.n_regimes:
         return done()
@@ -196,7 +208,7 @@ def regime_labels(pdf: pd.DataFrame, edges: pd.DataFrame | None, config: MRFDens
             return done()
     u = fields.costs(log_density, gaussians, None if config.regime_thresholds is None else list(config.regime_thresholds))
     smooth = fields.smoothness(u) if config.smoothness_lambda is None else config.smoothness_lambda
-    place = np.full(n, -1)
+    place = np.full(n, -1, np.int32)
     place[v] = np.arange(len(v))
     pairs = place[pairs] if len(pairs) else pairs
     pairs = pairs[(pairs >= 0).all(1)] if len(pairs) else pairs
@@ -220,9 +232,9 @@ def _(config: MRFDensityConfig, ps: PointSet) -> tuple[DataFrame, dict[str, Any]
         asks = g.filter("far > 0")
     if config.graph_kind == "knn":
         near = knn_join(g if asks is None else asks, g, config.graph_k, ["x", "y"], ["g"])
-        raw = g.groupBy("g").cogroup(near.groupBy("g")).applyInPandas(lambda a, b: regime_labels(a, b, config), schema)
+        raw = g.groupBy("g").cogroup(near.select("g", "src", "dst").groupBy("g")).applyInArrow(lambda a, b: regime_labels(a, b, config), schema)
     else:
-        raw = g.groupBy("g").applyInPandas(lambda a: regime_labels(a, None, config), schema)
+        raw = g.groupBy("g").applyInArrow(lambda a: regime_labels(a, None, config), schema)
     raw = written(raw, "regimes")
     groups = raw.groupBy("g").agg(F.first("smooth").alias("smoothness_lambda"), F.first("means").alias("regime_means"))
     return L.compacted(_named(raw, keys), config.min_points, keys), {"mrf_regime_per_emitter": raw.select("emitter_idx", "regime"), "mrf_groups": groups}

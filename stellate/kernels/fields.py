@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
 from math import inf, log, pi, sqrt
 
 import numpy as np
 
+from .near import joined
+
+Adjacency = tuple[np.ndarray, np.ndarray]
+
 MOST_ROUNDS, SETTLED, STARVED = 100, 1e-5, 1e-12
 
 
@@ -68,45 +73,68 @@ def smoothness(u: np.ndarray) -> float:
     return max(1e-6, float(np.median(np.abs(r - np.median(r)))))
 
 
-def potts(u: np.ndarray, near: list[np.ndarray], smooth: float, rounds: int) -> np.ndarray:
-    """Regimes from 0: points in order take the cheapest given their neighbours, until none changes."""
+def potts(u: np.ndarray, near: Adjacency, smooth: float, rounds: int) -> np.ndarray:
+    """Regimes from 0: points in order take the cheapest given their neighbours, until none changes.
+
+    A round looks only at points that may change: those that are not the cheapest as things stand, and neighbours of those that change.
+    """
     n, k = u.shape
     z = u.argmin(1)
+    first, to = near
+    counts = np.zeros((n, k), np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+    for j in range(k):
+        counts[:, j] = np.bincount(owner[z[to] == j], minlength=n)
+    del owner
+    size = np.diff(first)
+    best = z.copy()
+    for i in range(0, n, 1 << 16):
+        at = slice(i, i + (1 << 16))
+        best[at] = np.where(size[at] > 0, (u[at] + smooth * (size[at, None] - counts[at])).argmin(1), u[at].argmin(1))
+    now, later = np.flatnonzero(best != z).tolist(), set()
     for _ in range(rounds):
-        moved = False
-        for i in range(n):
-            q = near[i]
-            c = u[i] + smooth * (len(q) - np.bincount(z[q], minlength=k)) if len(q) else u[i]
-            j = int(c.argmin())
-            if j != z[i]:
-                z[i], moved = j, True
-        if not moved:
+        if not now:
             break
+        waits, later = set(now), set()
+        while now:
+            i = heappop(now)
+            waits.discard(i)
+            c = u[i] + smooth * (size[i] - counts[i]) if size[i] else u[i]
+            j = int(c.argmin())
+            if j == z[i]:
+                continue
+            q = to[first[i] : first[i + 1]]
+            counts[q, z[i]] -= 1
+            counts[q, j] += 1
+            z[i] = j
+            for m in q.tolist():
+                if m <= i:
+                    later.add(m)
+                elif m not in waits:
+                    waits.add(m)
+                    heappush(now, m)
+        now = sorted(later)
     return z
 
 
-def neighbours(n: int, edges: np.ndarray) -> list[np.ndarray]:
-    """Adjacency of undirected edges, ascending."""
-    both = np.concatenate([edges, edges[:, ::-1]]) if len(edges) else np.empty((0, 2), np.int64)
-    both = both[np.lexsort((both[:, 1], both[:, 0]))]
-    at = np.searchsorted(both[:, 0], np.arange(n + 1))
-    return [both[a:b, 1] for a, b in zip(at, at[1:], strict=False)]
+def neighbours(n: int, edges: np.ndarray) -> Adjacency:
+    """Adjacency of undirected edges (each once), ascending: where each point's neighbours begin, and the neighbours."""
+    a, b = (edges[:, i].astype(np.int32) for i in (0, 1)) if len(edges) else (np.empty(0, np.int32),) * 2
+    code = np.r_[a.astype(np.int64) * n + b, b.astype(np.int64) * n + a]
+    code.sort()
+    at = np.searchsorted(code, np.arange(n + 1, dtype=np.int64) * n)
+    code %= max(n, 1)
+    return at, code.astype(np.int32)
 
 
-def parts(n: int, near: list[np.ndarray], inside: np.ndarray) -> np.ndarray:
+def parts(n: int, near: Adjacency, inside: np.ndarray) -> np.ndarray:
     """Components among the points inside, numbered from 1 in the order of their first point; 0 elsewhere."""
+    first, to = near
+    i = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+    ok = inside[i] & inside[to] & (i < to)
+    root = joined(np.arange(n), i[ok], to[ok])
     out = np.zeros(n, int)
-    k = 0
-    for i in np.flatnonzero(inside).tolist():
-        if out[i]:
-            continue
-        k += 1
-        out[i], todo = k, [i]
-        while todo:
-            for j in near[todo.pop()].tolist():
-                if inside[j] and not out[j]:
-                    out[j] = k
-                    todo.append(j)
+    out[inside] = np.unique(root[inside], return_inverse=True)[1] + 1
     return out
 
 

@@ -82,3 +82,32 @@ def test_density_of_crowded_places(spark):
         d2 = ((x - x[i]) ** 2).sum(1)
         want = (np.exp(-d2 / 0.02) * (d2 <= 0.3 * 0.3)).sum() - 1
         assert abs(got[i] - want / (2 * np.pi * 0.01)) < 1e-8
+
+
+def test_potts_sweeps_are_those_point_by_point():
+    from stellate.kernels import fields
+
+    rng = np.random.default_rng(5)
+    for k in (2, 3):
+        n = 400
+        edges = np.unique(np.sort(rng.integers(0, n, (1500, 2)), axis=1), axis=0)
+        edges = edges[edges[:, 0] < edges[:, 1]]
+        near = [np.r_[edges[edges[:, 0] == i, 1], edges[edges[:, 1] == i, 0]] for i in range(n)]
+        u = rng.normal(size=(n, k))
+        for rounds in (1, 2, 30):
+            want = u.argmin(1)
+            for _ in range(rounds):
+                before = want.copy()
+                for i in range(n):
+                    want[i] = (u[i] + 0.7 * (len(near[i]) - np.bincount(want[near[i]], minlength=k))).argmin() if len(near[i]) else want[i]
+                if (before == want).all():
+                    break
+            flat = fields.neighbours(n, edges)
+            assert all(isinstance(a, np.ndarray) for a in flat)  # no array for each point
+            assert (fields.potts(u, flat, 0.7, rounds) == want).all()
+        inside = rng.random(n) < 0.4
+        got = fields.parts(n, flat, inside)
+        assert ((got > 0) == inside).all()
+        ok = inside[edges].all(1)
+        assert (got[edges[ok, 0]] == got[edges[ok, 1]]).all()
+        assert np.array_equal(np.unique(got[inside], return_index=True)[1], np.sort(np.unique(got[inside], return_index=True)[1]))
